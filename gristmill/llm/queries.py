@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_round_trip
 from .common import documents
+from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
+from .language_id import language_id
+from .language_model import language_model_scores
+from .simhash import simhash_dedup
+from .token_files import token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +32,26 @@ def byte_bpe() -> tuple[bytes, str]:
     return Path(tokenizer_file("byte_bpe_50k.tiktoken")).read_bytes(), public_tokenizers.PATTERN
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(documents(spark, sf_dir))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup(documents(spark, sf_dir))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(documents(spark, sf_dir), Path(tokenizer_file("word_bpe_49k.json")).read_text())
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(documents(spark, sf_dir), *byte_bpe())
 
@@ -36,6 +61,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
+    "op5_language_model": op5_language_model,
+    "op6_simhash_dedup": op6_simhash_dedup,
+    "op8_token_files": op8_token_files,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
