@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import arrow_batches, crc_mod, mix
 
@@ -126,7 +127,8 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.
 
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
-    """doc_id, held_out, lang_pred, score per row of (doc_id, held_out, text)."""
+    """The columns of ``docs`` but text, then lang_pred and score of its column text."""
+    others = [c for c in docs.columns if c != "text"]
     ref = docs.sparkSession.sparkContext.broadcast((names, prototypes))
 
     def part(texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -155,9 +157,10 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFr
             for at in range(0, b.num_rows, 64):
                 some = b.slice(at, 64)
                 langs, scores = part(some.column("text").to_pylist())
-                yield pa.record_batch({"doc_id": some.column("doc_id"), "held_out": some.column("held_out"), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+                yield pa.record_batch({c: some.column(c) for c in others} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    kinds = T.StructType([*(docs.schema[c] for c in others), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, kinds)
 
 
 def language_id(docs: DataFrame, held_out: Column | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -173,3 +176,9 @@ def language_id(docs: DataFrame, held_out: Column | None = None, dimensions: int
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs["lang"], held_out.alias("held_out"))
     names, prototypes = train(own.where(~F.col("held_out")), dimensions)
     return predict(own, names, prototypes)
+
+
+def with_language(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """row (all columns of ``docs`` as they are), lang_pred, score; trained on every row with text and lang."""
+    names, prototypes = train(docs, dimensions)
+    return predict(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"]), names, prototypes)

@@ -1,10 +1,11 @@
 """SimHash near-dedup: fingerprints, a vantage-point forest, exact links, components.
 
 Two fingerprints within 3 bits of each other are within 1 bit in their upper
-or in their lower half, and the Hamming distance of a half is a metric too.
-So each half has a vantage-point tree that partitions by distance: a point's
-home is the shard on its path, and it also visits each shard whose bound
-its ball of radius 1 crosses (triangle inequality). A pair within reach thus
+or in their lower half (within 7: in one of four quarters), and the Hamming
+distance of such a piece is a metric too. So each piece has a vantage-point
+tree that partitions by distance: a point's home is the shard on its path,
+and it also visits each shard whose bound its ball of radius 1 crosses
+(triangle inequality). A pair within reach thus
 meets in the home shard of either point, where the whole fingerprints are
 compared. A shard returns a spanning forest of its links, never all pairs.
 """
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 class VantageTree:
-    """A tree over 32-bit halves. Nodes: vantage point, radius, inner child, outer child; leaves are shard numbers."""
+    """A tree over pieces of fingerprints. Nodes: vantage point, radius, inner child, outer child; leaves are shard numbers."""
 
     def __init__(self, sample: np.ndarray, leaf: int, seed: int = 7):
         self.nodes: list[tuple[int, int, int, int]] = []
@@ -108,23 +109,24 @@ class VantageTree:
             todo.append((outer, at[into], home[into] & (d[into] > radius)))
 
 
-def halves(fp: np.ndarray) -> list[np.ndarray]:
-    whole = fp.view(np.uint64)
-    return [(whole >> np.uint64(32)).astype(np.uint32), (whole & np.uint64(0xFFFFFFFF)).astype(np.uint32)]
+def pieces(fp: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The fingerprints cut into ``parts`` equal runs of bits."""
+    whole, size = fp.view(np.uint64), 64 // parts
+    return [((whole >> np.uint64(size * i)) & np.uint64((1 << size) - 1)).astype(np.uint32) for i in range(parts)]
 
 
-def forest_of_links(fp: np.ndarray, home: np.ndarray, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+def forest_of_links(fp: np.ndarray, home: np.ndarray, bits: int, parts: int, part: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (node, root) of the links between home points and all points of a shard."""
     whole = fp.view(np.uint64)
     label = np.arange(len(fp))
     inside = np.flatnonzero(home)
     if len(inside) > 512:  # the same partition again, within memory
-        own = halves(fp)[half]
+        own = pieces(fp, parts)[part]
         tree = VantageTree(own[inside], 256)
-        parts = tree.route(own) if tree.shards > 1 else [(0, np.arange(len(fp)), home)]
+        cells = tree.route(own) if tree.shards > 1 else [(0, np.arange(len(fp)), home)]
     else:
-        parts = [(0, np.arange(len(fp)), home)]
-    for _, at, near in parts:
+        cells = [(0, np.arange(len(fp)), home)]
+    for _, at, near in cells:
         rows = at[near & home[at]]
         for first in range(0, len(rows), 256):
             some = rows[first : first + 256]
@@ -144,23 +146,24 @@ def links(distinct: DataFrame, n: int, bits: int = BITS, leaf: int = LEAF) -> Da
     shard, at most 2**20). It decides only where shards end; every fingerprint
     is routed and every link within reach is found.
     """
-    if not 0 <= bits <= 3:
-        raise ValueError("halves with reach 1 find links of at most 3 bits")
+    if not 0 <= bits <= 7:
+        raise ValueError("quarters with reach 1 find links of at most 7 bits")
+    parts = 2 if bits <= 3 else 4
     share = min(1.0, SAMPLE_A_LEAF / leaf, SAMPLE / max(n, 1))
     sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < max(1, round(share * (1 << 20)))).select("fp").limit(SAMPLE).toArrow().column("fp").to_numpy()
     sample = np.sort(sample)
-    trees = [VantageTree(x, max(1, round(leaf * share))) for x in halves(sample)]
+    trees = [VantageTree(x, max(1, round(leaf * share))) for x in pieces(sample, parts)]
     ref = distinct.sparkSession.sparkContext.broadcast(trees)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column("fp").to_numpy()
-            for half, (tree, points) in enumerate(zip(ref.value, halves(fp), strict=True)):
+            for part, (tree, points) in enumerate(zip(ref.value, pieces(fp, parts), strict=True)):
                 for shard, at, home in tree.route(points):
-                    yield pa.record_batch({"shard": pa.array(np.full(len(at), shard * 2 + half), pa.int64()), "fp": pa.array(fp[at]), "home": pa.array(home)})
+                    yield pa.record_batch({"shard": pa.array(np.full(len(at), shard * parts + part), pa.int64()), "fp": pa.array(fp[at]), "home": pa.array(home)})
 
     def meet(key, table):
-        u, v = forest_of_links(table.column("fp").to_numpy(), table.column("home").to_numpy(zero_copy_only=False), bits, key[0].as_py() % 2)
+        u, v = forest_of_links(table.column("fp").to_numpy(), table.column("home").to_numpy(zero_copy_only=False), bits, parts, key[0].as_py() % parts)
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
     dealt = distinct.select("fp").mapInArrow(route, "shard long, fp long, home boolean")
