@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, IS_SPACE, id_text, mix, texts_of
+from .common import BASE, IS_SPACE, id_text, texts_of
 
 Q, EDIT_RATE = 8, 0.08
+#: Items whose lengths differ by less than this factor share a window.
+CLASS_RATIO = 1.25
 #: Items a block holds; the texts pass once for each block of items.
 ITEM_BYTES = 16 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,10 +83,39 @@ class ItemIndex:
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
         order = np.argsort(flat, kind="stable")
         self.gram, self.item, self.place = flat[order], item[order], place[order]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(mix(self.gram) & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        # windows: an item with its edits covers at most m + k bytes of the text and at least need q-grams in it
-        self.window, self.least = (int((self.m + self.k).max()), int(self.need.min())) if len(self.texts) else (0, 0)
+        # classes of items of like length; an item with its edits covers at most m + k bytes of the
+        # text and has at least ``need`` of its q-grams there, so each class has its own window count
+        kind = np.floor(np.log(np.maximum(self.m, 1)) / np.log(CLASS_RATIO)).astype(np.int64)
+        kinds, own = np.unique(kind, return_inverse=True)
+        own = np.minimum(own, 31)
+        self.classes = [(int((self.m + self.k)[own == c].max()), int(self.need[own == c].min())) for c in range(min(len(kinds), 32))]
+        self.bits = np.zeros(1 << 20, np.uint32)
+        np.bitwise_or.at(self.bits, self._slot(self.gram), np.uint32(1) << own[self.item].astype(np.uint32))
+        self.window = max((w for w, _ in self.classes), default=0)
+
+    @staticmethod
+    def _slot(grams: np.ndarray) -> np.ndarray:
+        """A slot of the bit table: the top bits of a product."""
+        return ((grams * BASE) >> np.uint64(44)).astype(np.int64)
+
+    def _likely(self, grams: np.ndarray) -> np.ndarray:
+        """Places of q-grams of items in windows with enough of them for some item of the class."""
+        mask = self.bits[self._slot(grams)]
+        keep = np.zeros(len(grams), bool)
+        for c, (window, least) in enumerate(self.classes):
+            hit = (mask & np.uint32(1 << c)) != 0
+            total = np.zeros(len(grams) + 1, np.int32)
+            np.cumsum(hit, out=total[1:])
+            if total[-1] < least:
+                continue
+            w = min(window, len(grams))
+            start = np.flatnonzero(total[w:] - total[:-w] >= least)
+            if len(start):
+                mark = np.zeros(len(grams) + 1, np.int32)
+                mark[start] += 1
+                mark[start + w] -= 1
+                keep |= hit & (np.cumsum(mark[:-1]) > 0)
+        return np.flatnonzero(keep)
 
     def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of each item's occurrences in the squeezed text, best of each region."""
@@ -92,18 +123,9 @@ class ItemIndex:
         grams = q_grams(raw, self.q)
         if not len(grams) or not len(self.texts):
             return []
-        hit = self.bits[(mix(grams) & np.uint64((1 << 22) - 1)).astype(np.int64)]
-        if int(hit.sum()) < self.least:
+        at = self._likely(grams)
+        if not len(at):
             return []
-        total = np.concatenate(([0], np.cumsum(hit)))
-        n, w = len(grams), min(self.window, len(grams))
-        dense = np.flatnonzero(total[w:] - total[:-w] >= self.least)  # windows by their start
-        if not len(dense):
-            return []
-        mark = np.zeros(n + 1, np.int32)
-        np.add.at(mark, dense, 1)
-        np.add.at(mark, dense + w, -1)
-        at = np.flatnonzero((np.cumsum(mark[:n]) > 0) & hit)
         low = np.searchsorted(self.gram, grams[at], "left")
         size = np.searchsorted(self.gram, grams[at], "right") - low
         out: list[tuple[int, int, int, int]] = []
@@ -155,6 +177,10 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
     Edit distance with free ends in the text; cell c of row i is at text
     position i + low - k + c. Insertions along a row are a running minimum.
     """
+    begin = max(0, low - k)
+    verbatim = text[begin : high + k + len(item)].tobytes().find(item.tobytes())
+    if verbatim >= 0:
+        return begin + verbatim, begin + verbatim + len(item), 0
     left, width = low - k, high - low + 2 * k + 1
     columns = np.arange(width)
     big = 1 << 20
