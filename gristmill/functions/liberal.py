@@ -6,12 +6,14 @@ kept as they are. Each function takes a column and a locale id.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dates
 from .locales import date_formats, get_locale
-from .script import SPACE, leading_number, number_string, trimmed
+from .script import SPACE, leading_number, let, number_string, trimmed
 
 
 def parse_date(v: Column, locale_id: str) -> Column:
@@ -34,8 +36,8 @@ def validate_date(v: Column, locale_id: str) -> Column:
 
 def normalize_date(v: Column, locale_id: str) -> Column:
     """YYYY-MM-DD or NULL."""
-    d = parse_date(v, locale_id)
-    return F.when(d.isNotNull(), F.concat(d["year"].cast("string"), F.lit("-"), F.lpad(d["month"].cast("string"), 2, "0"), F.lit("-"), F.lpad(d["day"].cast("string"), 2, "0")))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return let(parse_date(v, locale_id), lambda d: F.concat(d["year"].cast("string"), F.lit("-"), two(d["month"]), F.lit("-"), two(d["day"])))
 
 
 def _unpointed(v: Column, locale_id: str) -> Column:
@@ -43,19 +45,19 @@ def _unpointed(v: Column, locale_id: str) -> Column:
     own = get_locale(locale_id)
     if own.thousands:
         v = F.replace(v, F.lit(own.thousands), F.lit(""))
-    if own.decimal != ".":
-        at = F.instr(v, own.decimal)
-        v = F.when(at > 0, F.concat(F.substring(v, F.lit(1), at - 1), F.lit("."), F.substring(v, at + len(own.decimal), F.length(v)))).otherwise(v)
-    return v
+    return first_point(v, own.decimal)
+
+
+def first_point(v: Column, decimal: str) -> Column:
+    """The first decimal separator as a point."""
+    return v if decimal == "." else F.regexp_replace(v, rf"\A([^{re.escape(decimal)}]*){re.escape(decimal)}", "$1.")
 
 
 def parse_number(v: Column, locale_id: str) -> Column:
     """A double from the leading number (12abc is 12); NULL if there is none."""
     t = trimmed(v)
-    negative = t.startswith("-")
-    body = F.when(negative, F.substring(t, F.lit(2), F.length(t))).otherwise(t)
-    x = leading_number(_unpointed(body, locale_id))
-    return F.when(negative, -x).otherwise(x)
+    x = leading_number(_unpointed(F.regexp_replace(t, r"\A-", ""), locale_id))
+    return x * F.when(t.startswith("-"), -1.0).otherwise(1.0)
 
 
 def validate_number(v: Column, locale_id: str) -> Column:
@@ -70,10 +72,9 @@ def normalize_number(v: Column, locale_id: str) -> Column:
 def strip_currency(v: Column, locale_id: str) -> Column:
     """Without symbols: for each in turn, one at the start and one at the end."""
     t = trimmed(v)
-    for symbol in get_locale(locale_id).symbols:
-        n = len(symbol)
-        t = F.when(t.startswith(symbol), trimmed(F.substring(t, F.lit(n + 1), F.length(t)))).otherwise(t)
-        t = F.when(t.endswith(symbol), trimmed(F.substring(t, F.lit(1), F.length(t) - n))).otherwise(t)
+    for symbol in map(re.escape, get_locale(locale_id).symbols):
+        t = F.regexp_replace(t, rf"\A{symbol}[{SPACE}]*", "")
+        t = F.regexp_replace(t, rf"[{SPACE}]*{symbol}\z", "")
     return t
 
 

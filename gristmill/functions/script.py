@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 #: White space beyond ASCII (fixed values); Java's own \\s is ASCII only.
 WIDE_SPACE = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
-SPACE = r"\s" + "".join(rf"\x{{{c:X}}}" for c in WIDE_SPACE)
+SPACE = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 LINE_END = r"\n\r\x{2028}\x{2029}"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value in the plan once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(v: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(v, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
@@ -26,8 +31,8 @@ def utf16_length(v: Column) -> Column:
     return F.octet_length(F.encode(v, "UTF-16BE")) / F.lit(2)
 
 
-def _digits(t: Column, base: int, lead: str, members: str) -> Column:
-    return F.when(t.rlike(rf"^0[{lead}][{members}]+\z"), F.conv(F.substring(t, 3, 2_000), base, 10).cast("double"))
+def _digits(v: Column, base: int, lead: str, members: str) -> Column:
+    return F.conv(F.regexp_extract(v, rf"^[{SPACE}]*0[{lead}]([{members}]+)[{SPACE}]*\z", 1), base, 10).try_cast("double")
 
 
 def number(v: Column) -> Column:
@@ -36,16 +41,13 @@ def number(v: Column) -> Column:
     Texts of plain number characters take the first branch, without a regular
     expression; what the cast rejects there isn't a number.
     """
-    plain = F.translate(v, "0123456789.eE+-", "") == ""
-    t = trimmed(v)
-    slow = (
-        F.when(t == "", F.lit(0.0))
-        .when(F.translate(t, "0123456789.eE+-", "") == "", t.try_cast("double"))
-        .when(t.isin("Infinity", "+Infinity"), F.lit(float("inf")))
-        .when(t == "-Infinity", F.lit(float("-inf")))
-        .otherwise(F.coalesce(_digits(t, 16, "xX", "0-9a-fA-F"), _digits(t, 2, "bB", "01"), _digits(t, 8, "oO", "0-7")))
-    )
-    return F.when(plain & (v != ""), v.try_cast("double")).otherwise(slow)
+    decimal = rf"^[{SPACE}]*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))[{SPACE}]*\z"
+    slow = F.coalesce(
+        F.regexp_extract(v, decimal, 1).try_cast("double"),
+        F.when(v.rlike(rf"^[{SPACE}]*\z"), 0.0),
+        _digits(v, 16, "xX", "0-9a-fA-F"), _digits(v, 2, "bB", "01"), _digits(v, 8, "oO", "0-7"),
+    )
+    return F.when((F.translate(v, "0123456789.eE+-", "") == "") & (v != ""), v.try_cast("double")).otherwise(slow)
 
 
 def is_integer(x: Column) -> Column:
@@ -55,13 +57,15 @@ def is_integer(x: Column) -> Column:
 
 def leading_number(v: Column) -> Column:
     """The longest leading decimal number, as parseFloat reads it; NULL if there is none."""
-    t = trimmed(v)
-    got = F.regexp_extract(t, r"^([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))", 1)
-    return F.when(got.endswith("Infinity"), F.when(got.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))).otherwise(got.try_cast("double"))
+    return F.regexp_extract(trimmed(v), r"^([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))", 1).try_cast("double")
 
 
 def number_string(x: Column) -> Column:
     """A double as text: 1234, 12345678.9, 1e+21 (not 1234.0, 1.23456789E7, 1.0E21)."""
+    return let(x, _number_string)
+
+
+def _number_string(x: Column) -> Column:
     s = F.abs(x).cast("string")
     mantissa = F.substring_index(s, "E", 1)
     has_exponent = s.contains("E")

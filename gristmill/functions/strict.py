@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import dates
-from .liberal import phone_faults
+from .liberal import first_point, phone_faults
 from .locales import date_formats, get_locale
 from .script import SPACE, number, trimmed
 
@@ -37,10 +37,7 @@ def number_value(v: Column, locale_id: str) -> Column:
     """What min and max compare: thousands removed, the first decimal separator a point."""
     own = get_locale(locale_id)
     v = F.regexp_replace(v, f"[{SPACE}]", "") if own.thousands == " " else F.replace(v, F.lit(own.thousands), F.lit(""))
-    if own.decimal != ".":
-        at = F.instr(v, own.decimal)
-        v = F.when(at > 0, F.concat(F.substring(v, F.lit(1), at - 1), F.lit("."), F.substring(v, at + 1, F.length(v)))).otherwise(v)
-    return number(v)
+    return number(first_point(v, own.decimal))
 
 
 def date_check(v: Column, locale_id: str) -> Check:

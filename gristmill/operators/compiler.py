@@ -21,15 +21,20 @@ CUSTOM_BASE, UNIQUE_CODE = 201, 251
 
 @dataclass(frozen=True)
 class CompiledColumn:
-    """``fn`` maps a value column to its internal code; ``errors`` has (rule name, message) of each code."""
+    """``fn`` maps a value column to its internal code; ``errors`` has (rule name, message) of each code.
+
+    ``number`` gives the value as the checks compare it, if they do; passed to
+    ``fn`` as a column of its own it is computed once, whatever refers to it.
+    """
 
     name: str
-    fn: Callable[[Column], Column]
+    fn: Callable[..., Column]
     errors: dict[int, tuple[str, str]]
     required: bool
     unique: bool
     customs: tuple[Rule, ...] = ()
     locale: str | None = None
+    number: Callable[[Column], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -43,13 +48,13 @@ class CompiledSchema:
         return len(self.columns)
 
 
-def plain_type_fault(kind: str, v: Column) -> Column | None:
+def plain_type_fault(kind: str, v: Column, n: Column | None) -> Column | None:
     """Whether a non-empty value fails its type without a locale; None for types that never do."""
     match kind:
         case "number":
-            return script.number(v).isNull()
+            return n.isNull()
         case "integer":
-            return ~script.is_integer(script.number(v))
+            return ~script.is_integer(n)
         case "boolean":
             return ~F.lower(v).isin("true", "false", "1", "0", "yes", "no")
         case "date":
@@ -62,13 +67,13 @@ def plain_type_fault(kind: str, v: Column) -> Column | None:
     return None
 
 
-def rule_fault(rule: Rule, v: Column, number: Callable[[Column], Column]) -> Column:
+def rule_fault(rule: Rule, v: Column, n: Column | None) -> Column:
     """Whether a non-empty value fails; what isn't a number fails neither min nor max."""
     match rule.rule:
         case "min":
-            return F.coalesce(number(v) < F.lit(float(rule.value)), F.lit(False))
+            return F.coalesce(n < F.lit(float(rule.value)), F.lit(False))
         case "max":
-            return F.coalesce(number(v) > F.lit(float(rule.value)), F.lit(False))
+            return F.coalesce(n > F.lit(float(rule.value)), F.lit(False))
         case "minLength":
             return script.utf16_length(v) < rule.value
         case "maxLength":
@@ -102,24 +107,29 @@ def compile_column(column: ColumnDef, name: str, default_locale: str | None = No
     if len(errors) >= CUSTOM_BASE:
         raise ValueError(f"{name}: more than {CUSTOM_BASE - 1} codes")
 
-    def fn(v: Column) -> Column:
+    def number(v: Column) -> Column:
+        if local and column.type == "number":
+            return strict.number_value(v, locale)
+        return script.number(strict.locale_check(column.type, v, locale).value if local and column.type == "currency" else v)
+
+    compares = any(r.rule in ("min", "max") for r in later) or not local and column.type in ("number", "integer")
+
+    def fn(v: Column, n: Column | None = None) -> Column:
+        n = number(v) if n is None and compares else n
         chain = F.when(v == "", F.lit(1 if needed else 0))
-        number = script.number
         if local:
             check = strict.locale_check(column.type, v, locale)
             for bad, offset in check.faults:
                 chain = chain.when(bad, F.lit(type_code + offset))
             if check.value is not None:
                 v = check.value
-            if column.type == "number":
-                number = lambda x: strict.number_value(x, locale)
-        elif (bad := plain_type_fault(column.type, v)) is not None:
+        elif (bad := plain_type_fault(column.type, v, n)) is not None:
             chain = chain.when(bad, F.lit(type_code))
         for i, r in enumerate(later):
-            chain = chain.when(rule_fault(r, v, number), F.lit(first + i))
+            chain = chain.when(rule_fault(r, v, n), F.lit(first + i))
         return chain.otherwise(F.lit(0)).cast("smallint")
 
-    return CompiledColumn(name, fn, errors, needed is not None, any(r.rule == "unique" for r in column.rules), tuple(r for r in column.rules if r.rule == "custom"), locale)
+    return CompiledColumn(name, fn, errors, needed is not None, any(r.rule == "unique" for r in column.rules), tuple(r for r in column.rules if r.rule == "custom"), locale, number if compares else None)
 
 
 def compile_schema(schema: Schema) -> CompiledSchema:

@@ -1,8 +1,8 @@
 """Validation of tables: codes per cell, the error table, statistics.
 
 Codes are columns of one narrow projection, so statistics are one aggregate
-over the scan. Rows are filtered by their largest code before any cell is
-exploded. Repeated values are found on (column, value) with a map-side
+over the scan. Only rows whose largest code isn't 0 build and explode
+an array of errors. Repeated values are found on (column, value) with a map-side
 aggregate and a join that adaptive execution can split, so a value that a
 third of all rows share doesn't end in one task.
 """
@@ -74,7 +74,9 @@ class Validation:
     @cached_property
     def checked(self) -> DataFrame:
         """_row, the values v0 ..., the codes c0 ... (rules, then customs; repeated values are apart)."""
-        out = self.values.select("*", *[c.fn(F.col(f"v{i}")).alias(f"c{i}") for i, c in enumerate(self.compiled.columns)])
+        numbers = {i: F.col(f"n{i}") for i, c in enumerate(self.compiled.columns) if c.number}
+        out = self.values.select("*", *[self.compiled.columns[i].number(F.col(f"v{i}")).alias(f"n{i}") for i in numbers])
+        out = out.select(*self.values.columns, *[c.fn(F.col(f"v{i}"), numbers.get(i)).alias(f"c{i}") for i, c in enumerate(self.compiled.columns)])
         for i, c in enumerate(self.compiled.columns):
             code, v = F.col(f"c{i}"), F.col(f"v{i}")
             for k, rule in enumerate(c.customs):
@@ -116,7 +118,7 @@ class Validation:
             structs.append(F.when(code > 0, F.struct(F.lit(i).alias("col"), F.lit(c.name).alias("field"), F.col(f"v{i}").alias("value"), public.alias("code"), message.alias("message"))))
         if not structs:
             return self.checked.sparkSession.createDataFrame([], ERRORS)
-        own = self.checked.where(self.bad).select(F.col(ROW).alias("row"), F.explode(F.array_compact(F.array(*structs))).alias("e")).select("row", "e.*")
+        own = self.checked.select(F.col(ROW).alias("row"), F.explode(F.when(self.bad, F.array_compact(F.array(*structs)))).alias("e")).select("row", "e.*")
         if not self.has_unique:
             return own
         again = self.duplicates
