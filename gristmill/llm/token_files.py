@@ -10,7 +10,9 @@ it an index of (doc_id, start, n). A row's address follows from its number, so
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import id_text, scratch, texts_of, written
 
 SEQUENCE, ROWS_A_BATCH = 1024, 256
-MAX_WORDS = 400_000
+#: Words a worker remembers before it starts anew, about 150 MB.
+MAX_WORDS = 600_000
 
 
 def file_system(uri: str) -> tuple:
@@ -31,28 +34,51 @@ def file_system(uri: str) -> tuple:
     return fs.FileSystem.from_uri(uri)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte inside a byte-level vocabulary: printable ones themselves, others from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """The tokenizers library behind a bounded memory of words.
 
-    The tokenizer splits at white space and drops it, so a text's ids are
-    those of its words in order.
+    The tokenizer lower-cases, splits at white space and drops it, so a text's
+    ids are those of its words in order. A word of lower-case Latin letters
+    in normal form is one piece as it stands and goes to the library's model
+    directly; any other word goes through the whole tokenizer.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(definition), {}
+        self.tokenizer, self.known, self.letters = Tokenizer.from_str(definition), {}, byte_letters()
+        self.model = self.tokenizer.model
+
+    def _letters_only(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < "\u0250" and unicodedata.is_normalized("NFC", word)) and word == word.lower()
+
+    def _ids(self, word: str) -> bytes:
+        if len(word) > 1 and word[-1] in ".," and self._letters_only(word[-2].lower()):  # a piece of its own
+            return self._ids(word[:-1]) + self._ids(word[-1])
+        if self._letters_only(word):
+            spelled = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-        out = [np.frombuffer(b"".join([known[w] for w in ws]), np.uint32) for ws in words]
-        if len(known) > MAX_WORDS:
-            known.clear()
+        # special tokens are written in lower case between <| and |>; a text with such marks keeps its case
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        known, out = self.known, []
+        for ws in words:
+            for w in ws:
+                if w not in known:
+                    known[w] = self._ids(w.decode())
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint32))
+            if len(known) > MAX_WORDS:
+                known.clear()
         return out
 
 
