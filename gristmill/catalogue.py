@@ -209,7 +209,7 @@ def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("lineitem_counts", lambda sp, d: Validator(LINEITEM).validate(lineitems(sp, d)).counts(), """
-    SELECT * FROM (SELECT 'line' AS field, 'max' AS rule, count(*) FILTER (l_linenumber > 6) AS n FROM lineitem UNION ALL SELECT 'line', 'min', count(*) FILTER (l_linenumber < 1) FROM lineitem
+    SELECT * FROM (SELECT 'order' AS field, 'min' AS rule, count(*) FILTER (l_orderkey < 1) AS n FROM lineitem UNION ALL SELECT 'line' AS field, 'max' AS rule, count(*) FILTER (l_linenumber > 6) AS n FROM lineitem UNION ALL SELECT 'line', 'min', count(*) FILTER (l_linenumber < 1) FROM lineitem
     UNION ALL SELECT 'quantity', 'max', count(*) FILTER (l_quantity > 45) FROM lineitem UNION ALL SELECT 'quantity', 'min', count(*) FILTER (l_quantity < 1) FROM lineitem
     UNION ALL SELECT 'discount', 'max', count(*) FILTER (CAST(l_discount AS DECIMAL(18,2)) > 0.09) FROM lineitem UNION ALL SELECT 'flag', 'enum', count(*) FILTER (l_returnflag NOT IN ('A', 'N')) FROM lineitem
     UNION ALL SELECT 'status', 'enum', count(*) FILTER (l_linestatus NOT IN ('O', 'F')) FROM lineitem) WHERE n > 0""")
