@@ -62,6 +62,23 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_threshold(counts: DataFrame, head: int) -> int:
+    """The least count such that at most ``head`` words have it or more.
+
+    Counts are binned (exactly up to 1024, then 64 bins a doubling), so what
+    comes to the driver is a few thousand rows at any size of the corpus.
+    """
+    fine = F.col("c") <= 1024
+    bins = counts.groupBy(F.when(fine, F.col("c")).otherwise(F.floor(F.log2("c") * 64) + 384).alias("bin")).agg(F.min("c").alias("low"), F.count(F.lit(1)).alias("n"))
+    taken, low = 0, 1 << 62
+    for r in sorted(bins.collect(), key=lambda r: -r.low):
+        taken += r.n
+        if taken > head:
+            break
+        low = r.low
+    return low
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -251,14 +268,13 @@ def language_model_scores(docs: DataFrame, held_out: Column | None = None, head:
 
     counts = written(token_counts(train), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head).toArrow()
-    words, c = top.column("word").to_pylist(), top.column("c").to_numpy().astype(np.int64)
-    v = min(len(words), CLASSES * CLASS_SIZE)
-    if total and END not in words[:v]:  # the end is always of the vocabulary
-        at = words.index(END) if END in words else len(words) - 1
-        ends = int(counts.where(F.col("word") == F.lit(bytearray(END))).first().c)
-        words.pop(at), words.insert(v - 1, END)
-        c = np.insert(np.delete(c, at), v - 1, ends)
+    top = counts.where((F.col("c") >= head_threshold(counts, head)) | (F.col("word") == F.lit(bytearray(END)))).toArrow()
+    ranked = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    v = min(len(ranked), CLASSES * CLASS_SIZE)
+    at = next((i for i, x in enumerate(ranked) if x[1] == END), 0)
+    if ranked and at >= v:  # the end is always of the vocabulary
+        ranked.insert(v - 1, ranked.pop(at))
+    words, c = [w for _, w in ranked], np.array([n for n, _ in ranked], np.int64)
     beyond, kinds = total - int(c[:v].sum()), distinct - v
     model = GatedModel(c[:v], beyond)
     number = {w: i for i, w in enumerate(words)}
@@ -267,7 +283,10 @@ def language_model_scores(docs: DataFrame, held_out: Column | None = None, head:
         return np.array([number.get(w, v) for w in tokens], np.int64)
 
     if total:
-        some = train.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(train_docs).select("text").toArrow()
+        # far more than enough rows by their hash first, so that the sort sees a few times ``train_docs`` rows, not all
+        share = min(1.0, 8 * train_docs / int(c[words.index(END)]))
+        hashed = train.withColumn("h", F.xxhash64("doc_id", "text")).where(F.shiftrightunsigned("h", 12) <= int(share * (1 << 52)))
+        some = hashed.orderBy("h", "doc_id").limit(train_docs).select("text").toArrow()
         model.fit([np.minimum(numbers(tokens_of(t.encode())), v) for t in some.column("text").to_pylist()], passes)
 
     ref = spark.sparkContext.broadcast((words, c, model, v))
