@@ -16,6 +16,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import visible_to_workers
+
 ROW = "_row"
 
 
@@ -238,6 +240,7 @@ def read_compatible(spark: SparkSession, path: str, options: Options = Options()
                     part = got.rows[at : at + 4096]
                     yield pd.DataFrame({"file": name, ROW: range(at, at + len(part)), "headers": [got.headers] * len(part), "fields": part})
 
+    visible_to_workers(spark)
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.mapInPandas(run, f"file string, {ROW} long, headers array<string>, fields array<string>")
 
