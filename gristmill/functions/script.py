@@ -38,16 +38,22 @@ def _digits(v: Column, base: int, lead: str, members: str) -> Column:
 def number(v: Column) -> Column:
     """The unary plus: decimals with sign and exponent, Infinity, 0x/0b/0o; blank text is 0; else NULL.
 
-    Texts of plain number characters take the first branch, without a regular
-    expression; what the cast rejects there isn't a number.
+    Most numbers begin and end with a digit, sign or point and take the cast at
+    once (an x would let it read hexadecimal fractions); the rest, and what the
+    cast rejects, is looked at by regular expressions.
     """
     decimal = rf"^[{SPACE}]*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))[{SPACE}]*\z"
-    slow = F.coalesce(
-        F.regexp_extract(v, decimal, 1).try_cast("double"),
-        F.when(v.rlike(rf"^[{SPACE}]*\z"), 0.0),
-        _digits(v, 16, "xX", "0-9a-fA-F"), _digits(v, 2, "bB", "01"), _digits(v, 8, "oO", "0-7"),
-    )
-    return F.when((F.translate(v, "0123456789.eE+-", "") == "") & (v != ""), v.try_cast("double")).otherwise(slow)
+    plain = F.ascii(v).between(43, 57) & F.substring(v, -1, 1).between(".", "9") & ~F.contains(v, F.lit("x")) & ~F.contains(v, F.lit("X"))
+
+    def odd(x: Column) -> Column:
+        return F.coalesce(
+            F.regexp_extract(x, decimal, 1).try_cast("double"),
+            F.when(x.rlike(rf"^[{SPACE}]*\z"), 0.0),
+            _digits(x, 16, "xX", "0-9a-fA-F"), _digits(x, 2, "bB", "01"), _digits(x, 8, "oO", "0-7"),
+        )
+
+    # the rare branch stays out of the generated method, which the JVM compiles only if it is short
+    return F.coalesce(F.when(plain, v.try_cast("double")), F.when(v == "", 0.0), let(v, odd))
 
 
 def is_integer(x: Column) -> Column:

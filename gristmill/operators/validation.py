@@ -139,9 +139,16 @@ class Validation:
         return base.select(ROW, *[F.col(f"v{i}").alias(n) for i, n in enumerate(names)], F.array(*codes).alias(CODES))
 
     def _counts(self) -> DataFrame:
-        """One row: rows, error rows, and the count of each (column, internal code)."""
-        sums = [F.count_if(F.col(f"c{i}") == k).alias(f"n{i}_{k}") for i, c in enumerate(self.compiled.columns) for k in [*c.errors, *range(CUSTOM_BASE, CUSTOM_BASE + len(c.customs))]]
-        return self.checked.agg(F.count(F.lit(1)).alias("rows"), F.count_if(self.bad).alias("bad"), *sums)
+        """One row: rows, error rows, and the count of each (column, internal code).
+
+        Rows are first counted by their combination of codes, of which there are
+        few; the sums are taken over those.
+        """
+        codes = [f"c{i}" for i in range(self.compiled.count)]
+        kinds = self.checked.groupBy(*codes).agg(F.count(F.lit(1)).alias("n"))
+        total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+        sums = [total(F.when(F.col(f"c{i}") == k, F.col("n"))).alias(f"n{i}_{k}") for i, c in enumerate(self.compiled.columns) for k in [*c.errors, *range(CUSTOM_BASE, CUSTOM_BASE + len(c.customs))]]
+        return kinds.agg(total(F.col("n")).alias("rows"), total(F.when(self.bad, F.col("n"))).alias("bad"), *sums)
 
     def counts(self) -> DataFrame:
         """errors by (field, rule): field, rule, n; a cell that fails custom and repeats counts under both."""
