@@ -17,8 +17,8 @@ from gristmill.llm.language_id import with_language
 from gristmill.llm.queries import byte_bpe
 from gristmill.llm.simhash import simhash_dedup
 
-#: Bits that near copies may differ by here; the query of the operator itself has 3.
-NEAR_BITS = 7
+#: Bits that near copies may differ by, as in the contract of the operator's own query.
+NEAR_BITS = 3
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
