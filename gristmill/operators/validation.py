@@ -21,6 +21,8 @@ from ..schema import DUPLICATE, Schema
 from .compiler import CUSTOM_BASE, UNIQUE_CODE, CompiledSchema, compile_schema, public_code
 
 ROW, CODES = "_row", "_codes"
+#: Partitions whose first row numbers are broadcast (16 MB); beyond that they are joined.
+OFFSETS = 1_000_000
 ERRORS = T.StructType([T.StructField("row", T.LongType()), T.StructField("col", T.IntegerType()), T.StructField("field", T.StringType()), T.StructField("value", T.StringType()), T.StructField("code", T.IntegerType()), T.StructField("message", T.StringType())])
 
 
@@ -37,13 +39,14 @@ def with_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     tagged = df.select("*", F.monotonically_increasing_id().alias(ROW))
     part = F.shiftright(F.col(ROW), 33)
     counts = {r.p: r.n for r in tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, pairs = 0, []
+    total, offsets = 0, []
     for p in sorted(counts):
-        pairs += [F.lit(p), F.lit(total)]
+        offsets.append((p, total))
         total += counts[p]
-    if not pairs:
-        return tagged
-    return tagged.withColumn(ROW, (F.element_at(F.create_map(*pairs), part) + F.col(ROW).bitwiseAND(F.lit((1 << 33) - 1))).cast("long"))
+    before = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    before = F.broadcast(before) if len(offsets) <= OFFSETS else before  # 16 bytes a partition
+    row = (F.col("_before") + F.col(ROW).bitwiseAND(F.lit((1 << 33) - 1))).alias(ROW)
+    return tagged.join(before, part == F.col("_part")).select(*[F.col(f"`{c}`") for c in df.columns], row)
 
 
 def _custom(rule, v: Column, eligible: Column) -> Column:
