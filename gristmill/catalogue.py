@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """All cores for a scan with fewer splits than cores (one row group, say); larger scans stay as they are, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def register(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql:
@@ -42,7 +48,7 @@ def one_column(name: str, source: str, key: str, expr: str, column: s.ColumnDef,
     """The error table of one derived column ``v``; ``faults`` are SQL conditions in the order of the checks."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, source).select(F.expr(key).cast("long").alias("_row"), F.expr(expr).alias("v"))
+        df = spread(table(spark, sf_dir, source)).select(F.expr(key).cast("long").alias("_row"), F.expr(expr).alias("v"))
         return Validator(s.Schema({"v": column})).validate(df).errors
 
     codes = " ".join(f"WHEN {c} THEN {code}" for c, code, _ in faults)
@@ -203,7 +209,7 @@ LINEITEM = s.Schema({
 def lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = {"order": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey", "line": "l_linenumber", "flag": "l_returnflag", "status": "l_linestatus"}
     money = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"))
     cells = {n: F.col(c).cast("string") for n, c in text.items()} | {n: F.expr(MONEY.format(c)) for n, c in money.items()} | {"shipped": F.date_format("l_shipdate", "yyyy-MM-dd")}
     return df.select(F.lit(0).cast("long").alias("_row"), *[cells[n].alias(n) for n in LINEITEM.names])
 
@@ -242,7 +248,7 @@ def plain_sql(x: str) -> str:
 
 def over_orders(expr_spark: str, fn: Callable, alias: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.expr(expr_spark).alias("v"))
+        df = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("k"), F.expr(expr_spark).alias("v"))
         return df.select("k", fn(F.col("v")).alias(alias))
 
     return query
@@ -327,7 +333,7 @@ PAIRS_SQL = "WITH p AS (SELECT p_partkey AS k, p_name AS a, lead(p_name) OVER (O
 
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part's name with that of the next part (keys have no gaps)."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"))
     nxt = part.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("b"))
     return part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("a")).join(nxt, "k")
 
