@@ -19,6 +19,7 @@ from .operators import mapping
 from .operators.validation import CODES, ErrorMatrix, Validator
 from .plans.session import ImportSession, parse_and_validate
 from .sources import delimited
+from .workers import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -399,9 +400,8 @@ register("map_and_validate", lambda sp, d: mapping.map_and_validate(table(sp, d,
 
 
 def exported(spark: SparkSession, df: DataFrame, label: str, options: delimited.Options) -> str:
-    """The frame as delimited text in the session's shared folder (or one below /tmp in local mode)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/gristmill-csv"
-    path = f"{shared}/gristmill-text/{spark.sparkContext.applicationId}/{label}"
+    """The frame as delimited text in the session's shared folder."""
+    path = f"{shared_dir(spark)}/gristmill-text/{spark.sparkContext.applicationId}/{label}"
     delimited.write_delimited(df, path, options, mode="overwrite")
     return path
 

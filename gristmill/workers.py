@@ -1,4 +1,4 @@
-"""Python workers must find this package."""
+"""What driver and executors share: the package on the workers' path, and a folder."""
 
 from __future__ import annotations
 
@@ -14,3 +14,21 @@ def visible_to_workers(spark: SparkSession) -> None:
     have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in have:
         env["PYTHONPATH"] = os.pathsep.join([*have, root])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see.
+
+    It is the cluster's ``spark.checkpoint.dir``. Only in local mode, where
+    driver and executors are one process, an unset value becomes a folder
+    below /tmp.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"/tmp/checkpoints/gristmill-{os.getuid()}"
+    os.makedirs(path, exist_ok=True)
+    return f"file://{path}"
