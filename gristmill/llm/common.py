@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -10,30 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workers import visible_to_workers
+from ..workers import shared_dir, visible_to_workers
 
 #: ASCII white space, as in the character class [\x20\x09-\x0D].
 ASCII_SPACE = r"[\x20\x09-\x0D]"
 ARROW_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only in local mode, where
-    driver and executors are one process, an unset value becomes a folder
-    below /tmp.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"/tmp/checkpoints/gristmill-{os.getuid()}"
-    os.makedirs(path, exist_ok=True)
-    return f"file://{path}"
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/gristmill/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
