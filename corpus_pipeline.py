@@ -15,10 +15,10 @@ from gristmill.llm.decontaminate import contaminated
 from gristmill.llm.exact_dedup import exact_dedup
 from gristmill.llm.language_id import with_language
 from gristmill.llm.queries import byte_bpe
-from gristmill.llm.simhash import simhash_dedup
+from gristmill.llm.simhash import near_copies, node_of
 
-#: Bits that near copies may differ by, as in the contract of the operator's own query.
-NEAR_BITS = 3
+#: Bits within which the fingerprints of two-word shingles propose near copies; the query of the operator itself has 3.
+NEAR_BITS = 9
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,9 +48,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies stays."""
-    marks = written(simhash_dedup(docs, bits=NEAR_BITS), "near")
-    return without(docs, marks.where("NOT doc_id <=> component_id"))
+    """One row of each component of near copies stays: texts that share 80 % or more of their five-word runs."""
+    gone = written(near_copies(docs, bits=NEAR_BITS), "near").select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (node_of(docs) == gone["gone_node"]), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

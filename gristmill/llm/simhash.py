@@ -1,7 +1,7 @@
 """SimHash near-dedup: fingerprints, a vantage-point forest, exact links, components.
 
 Two fingerprints within 3 bits of each other are within 1 bit in their upper
-or in their lower half (within 7: in one of four quarters), and the Hamming
+or in their lower half (within 7: in one of four quarters, 9: of five fifths), and the Hamming
 distance of such a piece is a metric too. So each piece has a vantage-point
 tree that partitions by distance: a point's home is the shard on its path,
 and it also visits each shard whose bound its ball of radius 1 crosses
@@ -16,13 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, texts_of, written
+from .common import gram_hashes, id_text, texts_of, word_hashes, word_spans, written
 from .components import components
 
 SHINGLE, BITS = 3, 3
+#: Near copies by content: words of a run, the share of runs two texts have in common, and the fingerprints that propose them.
+RUN, SAME, COPY_SHINGLE, COPY_BITS = 5, 0.8, 2, 9
 #: Fingerprints a shard should hold at home, the tree's sample for each shard, and the bound of the sample.
 LEAF, SAMPLE_A_LEAF, SAMPLE = 4096, 64, 1 << 20
 SEED = 42
@@ -50,14 +53,20 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) per row."""
+    """doc_id, node (``node_of`` the row) and fp (the fingerprint as a signed long) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in texts_of(b)], np.uint64)
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "fp": pa.array(fp.view(np.int64))})
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "node": b.column("node"), "fp": pa.array(fp.view(np.int64))})
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    own = id_text(docs)
+    return own.withColumn("node", node_of(own)).mapInArrow(run, "doc_id long, node long, fp long")
+
+
+def node_of(docs: DataFrame) -> Column:
+    """A hash of id and text, which names a row where ids are null or repeat."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit("")))
 
 
 class VantageTree:
@@ -110,9 +119,9 @@ class VantageTree:
 
 
 def pieces(fp: np.ndarray, parts: int) -> list[np.ndarray]:
-    """The fingerprints cut into ``parts`` equal runs of bits."""
-    whole, size = fp.view(np.uint64), 64 // parts
-    return [((whole >> np.uint64(size * i)) & np.uint64((1 << size) - 1)).astype(np.uint32) for i in range(parts)]
+    """The fingerprints cut into ``parts`` runs of bits, as even as can be."""
+    whole, cut = fp.view(np.uint64), [64 * i // parts for i in range(parts + 1)]
+    return [((whole >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.uint32) for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def forest_of_links(fp: np.ndarray, home: np.ndarray, bits: int, parts: int, part: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,15 +149,15 @@ def forest_of_links(fp: np.ndarray, home: np.ndarray, bits: int, parts: int, par
 
 
 def links(distinct: DataFrame, n: int, bits: int = BITS, leaf: int = LEAF) -> DataFrame:
-    """Links (u, v) that connect all of ``distinct.fp`` within ``bits`` (at most 3) of each other.
+    """Links (u, v) that connect all of ``distinct.fp`` within ``bits`` (at most 9) of each other.
 
     The trees grow from a sample of the fingerprints (by hash, about 64 a
     shard, at most 2**20). It decides only where shards end; every fingerprint
     is routed and every link within reach is found.
     """
-    if not 0 <= bits <= 7:
-        raise ValueError("quarters with reach 1 find links of at most 7 bits")
-    parts = 2 if bits <= 3 else 4
+    if not 0 <= bits <= 9:
+        raise ValueError("fifths with reach 1 find links of at most 9 bits")
+    parts = 2 if bits <= 3 else 4 if bits <= 7 else 5
     share = min(1.0, SAMPLE_A_LEAF / leaf, SAMPLE / max(n, 1))
     sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < max(1, round(share * (1 << 20)))).select("fp").limit(SAMPLE).toArrow().column("fp").to_numpy()
     sample = np.sort(sample)
@@ -181,10 +190,78 @@ def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, lea
     as equals; a null doc_id is never the smallest unless there is no other.
     An empty table gives an empty result.
     """
-    own = written(fingerprints(docs, shingle), "fingerprints")
+    own = written(fingerprints(docs, shingle).drop("node"), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     stars = components(links(distinct, distinct.count(), bits, leaf))
     rooted = distinct.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = rooted.join(smallest, "root").select("fp", "component_id")
     return own.join(ids, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def runs_of(text: bytes, words: int = RUN) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``words`` words; a shorter text is one run."""
+    raw = np.frombuffer(text.lower(), np.uint8)
+    own = word_hashes(raw, *word_spans(raw))
+    return np.unique(gram_hashes(own, min(words, len(own))))
+
+
+def copies_of_earlier(fp: np.ndarray, sets: list[np.ndarray], bits: int, same: float) -> np.ndarray:
+    """Whether each text is linked, over any steps, with one before it: at most ``bits`` bits apart and a Jaccard similarity of ``same`` or more.
+
+    A text is compared only with those its component lacks, so a group of
+    copies takes about one comparison a text, not all pairs.
+    """
+    whole, label = fp.view(np.uint64), np.arange(len(fp))
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(code.max()) + 1, bool)
+    for i in range(len(fp) - 1):
+        n, rest = size[i], np.arange(i + 1, len(fp))
+        rest = rest[(label[rest] != label[i]) & (np.minimum(size[rest], n) >= same * np.maximum(size[rest], n) - 1e-9) & (np.bitwise_count(whole[rest] ^ whole[i]) <= bits)]
+        mark[code[ends[i] - n : ends[i]]] = True
+        met = []
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
+            both = np.add.reduceat(mark[np.concatenate([code[ends[k] - size[k] : ends[k]] for k in some])].astype(np.int64), np.cumsum(size[some]) - size[some])
+            met.append(some[both >= same * (size[some] + n - both) - 1e-9])
+        mark[code[ends[i] - n : ends[i]]] = False
+        if met and len(hit := np.concatenate(met)):
+            old = np.unique(label[np.append(hit, i)])
+            label[np.isin(label, old)] = old[0]
+    return label != np.arange(len(fp))
+
+
+def near_copies(docs: DataFrame, same: float = SAME, words: int = RUN, shingle: int = COPY_SHINGLE, bits: int = COPY_BITS, leaf: int = LEAF) -> DataFrame:
+    """doc_id and node of the rows that go so that one row of each component of near copies stays.
+
+    Rows link when their texts' sets of ``words``-word runs have an exact
+    Jaccard similarity of ``same`` or more and their fingerprints differ in at
+    most ``bits`` bits; the fingerprints only propose, the texts decide. The
+    row with the smallest id stays (a null id last; then by node). Texts
+    without words are equal; rows that repeat both id and text go or stay
+    together. An empty table gives an empty result.
+    """
+    own = written(fingerprints(docs, shingle), "fingerprints")
+    distinct = written(own.groupBy("fp").agg(F.count(F.lit(1)).alias("rows")), "distinct")
+    stars = components(links(distinct, distinct.count(), bits, leaf)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    linked = stars.unionByName(stars.select(F.col("root").alias("fp"), "root").distinct())
+    wide = distinct.join(linked, "fp", "left").where("root IS NOT NULL OR rows > 1").select("fp", F.coalesce("root", "fp").alias("root"))
+    asked = written(own.join(wide, "fp").select("node", "fp", "root").distinct(), "asked")
+    texts = id_text(docs)
+    texts = texts.withColumn("node", node_of(texts)).join(asked, "node").dropDuplicates(["node"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [runs_of(t, words).tobytes() for t in texts_of(b)]
+            yield pa.record_batch({c: b.column(c) for c in ("root", "doc_id", "node", "fp")} | {"runs": pa.array(runs, pa.binary())})
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.take(pa.compute.sort_indices(table, [("doc_id", "ascending"), ("node", "ascending")]))  # nulls come last
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("runs").to_pylist()]
+        gone = copies_of_earlier(table.column("fp").to_numpy(), sets, bits, same)
+        return table.select(["doc_id", "node"]).filter(pa.array(gone))
+
+    runs = texts.select("root", "doc_id", "node", "fp", "text").mapInArrow(cut, "root long, doc_id long, node long, fp long, runs binary")
+    return runs.groupBy("root").applyInArrow(meet, "doc_id long, node long")
