@@ -21,10 +21,10 @@ from gristmill.llm.simhash import near_copies, node_of
 NEAR_BITS = 9
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids`` (a null equals a null)."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+def without(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose ``node_of`` is in ``nodes``: null or repeated ids don't take other rows along."""
+    gone = nodes.select(F.col("node").alias("gone_node")).distinct()
+    return docs.join(gone, node_of(docs) == gone["gone_node"], "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +49,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies stays: texts that share 80 % or more of their five-word runs."""
-    gone = written(near_copies(docs, bits=NEAR_BITS), "near").select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (node_of(docs) == gone["gone_node"]), "left_anti")
+    return without(docs, written(near_copies(docs, bits=NEAR_BITS), "near"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return without(docs, written(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks"))
+    by_node = docs.select(node_of(docs).alias("doc_id"), "text")
+    leaks = contaminated(by_node, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, written(leaks.select(F.col("doc_id").alias("node")), "leaks"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,12 @@ def test_copies_against_brute_force():
                 x, y = label[i], label[j]
                 label = [min(x, y) if v in (x, y) else v for v in label]
     assert copies_of_earlier(fp, sets, 9, 0.6).tolist() == [label[i] != i for i in range(120)]
+
+
+def test_decontamination_decides_row_by_row(spark):
+    r = np.random.default_rng(11)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    rows = [(None, " ".join([*fresh(r, 40), item])), (None, " ".join(fresh(r, 40))), (5, " ".join([*fresh(r, 40), item])), (5, " ".join(fresh(r, 40)))]
+    docs = spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string")
+    kept = {(x.doc_id, x.text) for x in corpus_pipeline.decontaminated(spark, docs, SF).collect()}
+    assert kept == {rows[1], rows[3]}
