@@ -9,6 +9,7 @@ pytest.importorskip("public_tokenizers")
 import corpus_pipeline
 from gristmill.llm.common import written
 from gristmill.llm.simhash import copies_of_earlier, runs_of
+from gristmill.llm.substring_dedup import chains, shared_passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,19 @@ def test_decontamination_decides_row_by_row(spark):
     docs = spark.createDataFrame([(*x, "en") for x in rows], "doc_id long, text string, lang string")
     kept = {(x.doc_id, x.text) for x in corpus_pipeline.decontaminated(spark, docs, SF).collect()}
     assert kept == {rows[1], rows[3]}
+
+
+def test_chain_after_a_gap_joins_its_own_neighbours():
+    """A long chain before the gap must not stand in the way of the matches after it."""
+    first, second = np.arange(0, 300, 5), np.arange(360, 510, 5)
+    a = np.concatenate([first, second])
+    assert [len(c) for c in chains(a, a.copy())] == [60, 30]
+
+
+def test_both_passages_of_a_pair_are_found(spark):
+    r = np.random.default_rng(2)
+    long, short = fresh(r, 300), fresh(r, 150)
+    rows = [(1, [*long, *fresh(r, 60), *short]), (2, [*long, *fresh(r, 60), *short])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = shared_passages(docs).orderBy("start").collect()
+    assert [(x.doc_id, x.other_id, x.start, x.end, x.other_start, x.other_end) for x in got] == [(2, 1, 0, 300, 0, 300), (2, 1, 360, 510, 360, 510)]
