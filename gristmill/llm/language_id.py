@@ -9,6 +9,7 @@ prototype, less the mean of all prototypes, has the largest cosine.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ from pyspark.sql import types as T
 from .common import arrow_batches, crc_mod, mix
 
 DIMENSIONS, N = 1024, 3
-#: Distinct n-grams a task holds per language before it bundles them.
-HELD = 100_000
+#: A text's weight, spread over its n-grams: large enough that none of a text below 4 G letters rounds to zero.
+WEIGHT = 1 << 32
+#: Distinct n-grams, and texts, that a task holds per language before it bundles them (sums of 2**20 weights are exact in a double).
+HELD, HELD_TEXTS = 100_000, 1 << 20
 _tables: list[np.ndarray] = []
 
 
@@ -81,7 +84,7 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from columns text and lang (rows with a null are left out).
 
-    Every text bundles with weight 4096 spread over its n-grams, in whole
+    Every text bundles with weight 2**32 spread over its n-grams, in whole
     numbers, so sums don't depend on their order. What comes to the driver is
     one vector a language.
     """
@@ -89,6 +92,7 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, int]] = {}
+        texts: Counter = Counter()
 
         def bundle(lang: str) -> pa.RecordBatch:
             codes = np.array(list(held[lang]), np.int64)
@@ -103,12 +107,12 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.
                 codes, counts = counted(text)
                 if len(codes):
                     own = held.setdefault(lang, {})
-                    for g, w in zip(codes.tolist(), (counts * 4096 // counts.sum()).tolist(), strict=True):
-                        if w:
-                            own[g] = own.get(g, 0) + w
-                    if len(own) > HELD:
+                    for g, w in zip(codes.tolist(), (counts * WEIGHT // counts.sum()).tolist(), strict=True):
+                        own[g] = own.get(g, 0) + w
+                    texts[lang] += 1
+                    if len(own) > HELD or texts[lang] >= HELD_TEXTS:
                         yield bundle(lang)
-                        del held[lang]
+                        del held[lang], texts[lang]
         for lang in held:
             yield bundle(lang)
 

@@ -8,6 +8,7 @@ pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline
 from gristmill.llm.common import written
+from gristmill.llm.language_id import counted, gram_vectors, train
 from gristmill.llm.simhash import copies_of_earlier, runs_of
 from gristmill.llm.substring_dedup import chains, shared_passages
 
@@ -74,3 +75,13 @@ def test_both_passages_of_a_pair_are_found(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
     got = shared_passages(docs).orderBy("start").collect()
     assert [(x.doc_id, x.other_id, x.start, x.end, x.other_start, x.other_end) for x in got] == [(2, 1, 0, 300, 0, 300), (2, 1, 360, 510, 360, 510)]
+
+
+def test_a_long_text_teaches_all_its_ngrams(spark):
+    """Thousands of n-grams that occur once each weigh as much as they do in prediction."""
+    r = np.random.default_rng(4)
+    text = "".join(chr(0x4E00 + x) for x in r.integers(0, 15_000, 6000))
+    names, got = train(spark.createDataFrame([(text, "zh")], "text string, lang string"))
+    codes, counts = counted(text)
+    want = counts.astype(np.float64) @ gram_vectors(codes).astype(np.float64)
+    assert names == ["zh"] and np.allclose(got[0], want / np.linalg.norm(want), atol=1e-4)
