@@ -13,7 +13,7 @@ from ..workers import shared_dir, visible_to_workers
 
 #: ASCII white space, as in the character class [\x20\x09-\x0D].
 ASCII_SPACE = r"[\x20\x09-\x0D]"
-ARROW_ROWS = 256
+ARROW_ROWS, ARROW_BYTES = 256, 4 << 20
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -29,21 +29,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame that ``written`` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        removed(df.sparkSession, name.rsplit("/", 1)[0])
+
+
+def file_system(uri: str) -> tuple:
+    """The file system and the path in it, for files that tasks write and read themselves."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as one text may have megabytes; a value that the user set stays."""
+    """Keep Arrow batches small in rows and bytes, as one text may have megabytes; a value that the user set stays."""
     visible_to_workers(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+    for key, usual, own in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(own))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

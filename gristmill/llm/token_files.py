@@ -21,19 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_text, scratch, texts_of, written
+from .common import file_system, id_text, scratch, texts_of, written
 
 SEQUENCE, ROWS_A_BATCH = 1024, 256
 #: Words a worker remembers before it starts anew, about 150 MB.
 MAX_WORDS = 600_000
 
 
-def file_system(uri: str) -> tuple:
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte inside a byte-level vocabulary: printable ones themselves, others from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -47,8 +47,8 @@ def norm(t):
     return re.sub("[ \t-\r]+", " ", t or "")
 
 
-@pytest.mark.parametrize("width,memtable", [(32, 1 << 16), (1, 3), (0, 2)])
-def test_exact_dedup(docs, none, width, memtable):
+@pytest.mark.parametrize("width,memtable,size,ranges", [(32, 1 << 16, 1 << 25, 1 << 17), (32, 2, 1 << 25, 1), (1, 3, 40, 1), (0, 2, 1 << 25, 4)])
+def test_exact_dedup(docs, none, width, memtable, size, ranges):
     groups = {}
     for i, t, _ in ROWS:
         groups.setdefault(norm(t), []).append(i)
@@ -57,7 +57,7 @@ def test_exact_dedup(docs, none, width, memtable):
         own = groups[norm(t)]
         keep = min((x for x in own if x is not None), default=None)
         want.append((i, keep, len(own), keep == i, hashlib.sha256(norm(t).encode()).hexdigest()))
-    got = [tuple(r) for r in exact_dedup(docs, memtable_rows=memtable, digest_bytes=width).collect()]
+    got = [tuple(r) for r in exact_dedup(docs.repartition(3), memtable_rows=memtable, memtable_bytes=size, range_rows=ranges, digest_bytes=width).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert exact_dedup(none).count() == 0
 
