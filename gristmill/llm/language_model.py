@@ -2,15 +2,17 @@
 
 Counts of all training tokens give the base score, and the model's output
 biases. The network (one GRU layer) is trained in numpy by truncated
-backpropagation on a bounded sample of training texts. Its output softmax is
-factored: a class first, then the word in the class. One class stands for the
-words beyond the vocabulary; there the share of a word follows its count, so
-each token of each text has a probability. Scoring keeps the state across
-windows, from a text's first token to its end.
+backpropagation on all training texts: each task goes once over its own, and
+the tasks' weights are averaged, weighted by tokens, after each round. The
+output softmax is factored: a class first, then the word in the class. One
+class stands for the words beyond the vocabulary; there the share of a word
+follows its count, so each token of each text has a probability. Scoring
+keeps the state across windows, from a text's first token to its end.
 """
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 from collections import Counter
@@ -25,13 +27,15 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, crc_mod, texts_of, written
 
 END = b""
-#: Words with a row in the network, classes of them, sizes of the layers.
-CLASSES, CLASS_SIZE, EMBEDDING, HIDDEN = 64, 64, 16, 16
+#: Sizes of the layers, and words with a row in the network: classes of 16, of 32, then of 64 words, by falling count.
+EMBEDDING, HIDDEN, VOCABULARY = 16, 16, 1024
 #: Words whose counts travel to the workers (about 4 MB); others are joined.
 HEAD = 1 << 17
-#: The sample that the network is trained on: texts, passes, lanes, window.
-TRAIN_DOCS, PASSES, LANES, WINDOW = 1024, 2, 32, 32
-SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 128, 64, 1 << 20
+#: Training: rounds (each text is in one of them), lanes, steps of a window, tokens laid out at once, tokens a task should have at least.
+ROUNDS, LANES, WINDOW, TRAIN_TOKENS, SHARD_TOKENS = 2, 128, 32, 1 << 19, 1 << 20
+#: Blocks in which weights travel, and parts in which a block is summed first.
+BLOCKS, PARTS = 16, 32
+SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 256, 64, 1 << 20
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -88,25 +92,41 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
 
 
+def class_bounds(v: int) -> list[int]:
+    """Where classes of words start, and the end: frequent words lie in small classes, so most softmaxes are short."""
+    out = [0]
+    while out[-1] < v:
+        out.append(min(v, out[-1] + (16 if len(out) <= 2 else 32 if len(out) <= 5 else 64)))
+    return out
+
+
 class GatedModel:
     """GRU over word numbers: 0 ... v-1 the vocabulary by falling count, v the words beyond it, v+1 the start."""
 
-    def __init__(self, counts: np.ndarray, beyond: float, seed: int = 11, classes: int = CLASSES, size: int = CLASS_SIZE, embedding: int = EMBEDDING, hidden: int = HIDDEN):
-        self.v, self.size = len(counts), size
-        self.classes = min(classes, -(-self.v // size)) if self.v else 0
+    def __init__(self, counts: np.ndarray, beyond: float, seed: int = 11, bounds: list[int] | None = None, embedding: int = EMBEDDING, hidden: int = HIDDEN):
+        self.v, self.hidden = len(counts), hidden
+        self.bounds = class_bounds(self.v) if bounds is None else bounds
+        self.classes = len(self.bounds) - 1
+        self.kinds = np.append(np.repeat(np.arange(self.classes), np.diff(self.bounds)), self.classes)
         r = np.random.default_rng(seed)
         draw = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
-        padded = np.full(self.classes * size, -1e9)
-        padded[: self.v] = np.log(counts + 0.5)
-        inside = padded.reshape(self.classes, size)
-        mass = np.append(np.exp(inside).sum(axis=1), beyond + 0.5)
+        weight = np.asarray(counts, np.float64) + 0.5
+        mass = np.append(np.add.reduceat(weight, self.bounds[:-1]) if self.v else [], beyond + 0.5)
         self.p = {
             "embed": draw(self.v + 2, embedding, scale=0.1),
             "wx": draw(embedding, 3 * hidden, scale=embedding**-0.5), "wh": draw(hidden, 3 * hidden, scale=hidden**-0.5), "b": np.zeros(3 * hidden, np.float32),
             "class_w": np.zeros((hidden, self.classes + 1), np.float32), "class_b": np.log(mass / mass.sum()).astype(np.float32),
-            "word_w": np.zeros((self.classes, size, hidden), np.float32), "word_b": inside.astype(np.float32),
+            "word_w": np.zeros((self.v, hidden), np.float32), "word_b": np.log(weight).astype(np.float32),
         }
-        self.hidden = hidden
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([x.ravel() for x in self.p.values()])
+
+    def with_weights(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, x in self.p.items():
+            self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+            at += x.size
 
     def steps(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each step of (steps, lanes) inputs; a fresh lane starts from zero."""
@@ -126,19 +146,24 @@ class GatedModel:
             states[t] = h
         return states, h
 
+    def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order that puts targets of one class side by side, their classes, and where each class starts."""
+        kind = self.kinds[targets]
+        order = np.argsort(kind, kind="stable")
+        kind = kind[order]
+        return order, kind, np.searchsorted(kind, np.arange(self.classes + 1))
+
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target; of v, that of the class of words beyond."""
-        kind = np.minimum(targets // self.size, self.classes)
-        kind[targets >= self.v] = self.classes
-        order = np.argsort(kind, kind="stable")
-        states, targets, kind = states[order], targets[order], kind[order]
+        order, kind, edge = self._by_class(targets)
+        states, targets = states[order], targets[order]
         got = log_softmax(states @ self.p["class_w"] + self.p["class_b"])[np.arange(len(kind)), kind]
-        edge = np.searchsorted(kind, np.arange(self.classes + 1))
         for k in range(self.classes):
             a, b = edge[k], edge[k + 1]
             if a < b:
-                words = log_softmax(states[a:b] @ self.p["word_w"][k].T + self.p["word_b"][k])
-                got[a:b] += words[np.arange(b - a), targets[a:b] - k * self.size]
+                low, high = self.bounds[k], self.bounds[k + 1]
+                words = log_softmax(states[a:b] @ self.p["word_w"][low:high].T + self.p["word_b"][low:high])
+                got[a:b] += words[np.arange(b - a), targets[a:b] - low]
         out = np.empty(len(order))
         out[order] = got
         return out
@@ -147,64 +172,80 @@ class GatedModel:
         """Backpropagation through one window; the state it starts from is taken as given."""
         p, n, keep = self.p, self.hidden, []
         states, last = self.steps(inputs, fresh, h, keep)
-        flat, want, w = states.reshape(-1, n), targets.ravel(), real.ravel().astype(np.float32)
-        w = w / max(1.0, w.sum())
-        kind = np.minimum(want // self.size, self.classes)
-        kind[want >= self.v] = self.classes
+        order, kind, edge = self._by_class(targets.ravel())
+        flat, want, w = states.reshape(-1, n)[order], targets.ravel()[order], real.ravel()[order].astype(p["wx"].dtype)
+        w /= max(1.0, w.sum())
         g = {k: np.zeros_like(x) for k, x in p.items()}
-        logp = log_softmax(flat @ p["class_w"] + p["class_b"])
-        at = np.arange(len(want))
-        loss = -(logp[at, kind] * w).sum()
-        d = np.exp(logp)
-        d[at, kind] -= 1
-        d *= w[:, None]
+
+        def softmax(x: np.ndarray, own: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+            """The gradient at the logits, and the loss."""
+            x -= x.max(axis=1, keepdims=True)
+            at = np.arange(len(x))
+            picked = x[at, own]
+            np.exp(x, out=x)
+            total = x.sum(axis=1, keepdims=True)
+            x *= (weight / total[:, 0])[:, None]
+            x[at, own] -= weight
+            return x, float(((np.log(total[:, 0]) - picked) * weight).sum())
+
+        d, loss = softmax(flat @ p["class_w"] + p["class_b"], kind, w)
         g["class_w"], g["class_b"] = flat.T @ d, d.sum(axis=0)
         back = d @ p["class_w"].T
-        for k in np.unique(kind[kind < self.classes]):
-            i = np.flatnonzero(kind == k)
-            logp = log_softmax(flat[i] @ p["word_w"][k].T + p["word_b"][k])
-            own = want[i] - k * self.size
-            loss -= (logp[np.arange(len(i)), own] * w[i]).sum()
-            d = np.exp(logp)
-            d[np.arange(len(i)), own] -= 1
-            d *= w[i][:, None]
-            g["word_w"][k], g["word_b"][k] = d.T @ flat[i], d.sum(axis=0)
-            back[i] += d @ p["word_w"][k]
-        back = back.reshape(states.shape)
-        dh, dx = np.zeros_like(h), np.empty((*inputs.shape, 3 * n), np.float32)
+        for k in range(self.classes):
+            a, b = edge[k], edge[k + 1]
+            if a < b:
+                low, high = self.bounds[k], self.bounds[k + 1]
+                d, more = softmax(flat[a:b] @ p["word_w"][low:high].T + p["word_b"][low:high], want[a:b] - low, w[a:b])
+                loss += more
+                g["word_w"][low:high], g["word_b"][low:high] = d.T @ flat[a:b], d.sum(axis=0)
+                back[a:b] += d @ p["word_w"][low:high]
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        back = unsorted.reshape(states.shape)
+        dh, dx, recurrent = np.zeros_like(h), np.empty((*inputs.shape, 3 * n), p["wx"].dtype), np.empty((*inputs.shape, 3 * n), p["wx"].dtype)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, c, s = keep[t]
-            dh = dh + back[t]
-            dc = dh * (1 - z) * (1 - c * c)
+            dh += back[t]
             dz = dh * (before - c) * z * (1 - z)
-            dr = dc * s * r * (1 - r)
-            ds = np.concatenate([dz, dr, dc * r], axis=1)
-            dx[t] = np.concatenate([dz, dr, dc], axis=1)
-            g["wh"] += before.T @ ds
-            dh = (dh * z + ds @ p["wh"].T) * ~fresh[t][:, None]
+            dc = dh * (1 - z) * (1 - c * c)
+            x, y = dx[t], recurrent[t]
+            x[:, :n] = y[:, :n] = dz
+            x[:, n : 2 * n] = y[:, n : 2 * n] = dc * s * r * (1 - r)
+            x[:, 2 * n :] = dc
+            y[:, 2 * n :] = dc * r
+            dh = dh * z + y @ p["wh"].T
+            if fresh[t].any():
+                dh *= ~fresh[t][:, None]
+        g["wh"] = np.concatenate([k[0] for k in keep]).T @ recurrent.reshape(-1, 3 * n)
         flat_dx = dx.reshape(-1, 3 * n)
         g["wx"], g["b"] = p["embed"][inputs].reshape(-1, p["embed"].shape[1]).T @ flat_dx, flat_dx.sum(axis=0)
-        np.add.at(g["embed"], inputs.ravel(), flat_dx @ p["wx"].T)
-        return g, last, float(loss)
-
-    def fit(self, texts: list[np.ndarray], passes: int = PASSES, lanes: int = LANES, window: int = WINDOW, rate: float = 0.01) -> list[float]:
-        """Adam over the windows of ``passes`` over the texts; the mean loss of each pass."""
-        first, second, step, losses = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0, []
-        for epoch in range(passes):
-            total = n = 0.0
-            for inputs, targets, fresh, real, _, h in windows(texts, self.v + 1, lanes, window, self.hidden):
-                g, h[:], loss = self.gradients(inputs, targets, fresh, real, h)
-                step += 1
-                size = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                pace = rate / (1 + epoch) * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-                for k, x in g.items():
-                    x = x * min(1.0, 1 / (size + 1e-9))
-                    first[k] += 0.1 * (x - first[k])
-                    second[k] += 0.001 * (x * x - second[k])
-                    self.p[k] -= pace * first[k] / (np.sqrt(second[k]) + 1e-8)
-                total, n = total + loss * real.sum(), n + real.sum()
-            losses.append(total / max(1, n))
-        return losses
+        rows = inputs.ravel()
+        order = np.argsort(rows, kind="stable")
+        start = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        g["embed"][rows[order][start]] = np.add.reduceat((flat_dx @ p["wx"].T)[order], start)
+        return g, last, loss
+
+    def fit(self, texts: list[np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = 0.01, state: dict | None = None) -> float:
+        """Adam over the windows of one pass over the texts; the mean loss. ``state`` carries on from the call before."""
+        state = {} if state is None else state
+        if not state:
+            state |= {"step": 0, "first": np.zeros(sum(x.size for x in self.p.values()), np.float32), "second": np.zeros(sum(x.size for x in self.p.values()), np.float32)}
+        total, n = 0.0, 0
+        flat = self.weights()
+        for inputs, targets, fresh, real, _, h in windows(texts, self.v + 1, lanes, window, self.hidden):
+            self.with_weights(flat)
+            g, h[:], loss = self.gradients(inputs, targets, fresh, real, h)
+            g = np.concatenate([g[k].ravel() for k in self.p])
+            state["step"] += 1
+            g *= min(1.0, 1 / (math.sqrt(float(g @ g)) + 1e-9))
+            state["first"] += 0.1 * (g - state["first"])
+            state["second"] += 0.001 * (g * g - state["second"])
+            # windows with few lanes left, at the end of the longest texts, move the weights less
+            pace = rate * real.sum() / (lanes * window) * math.sqrt(1 - 0.999 ** state["step"]) / (1 - 0.9 ** state["step"])
+            flat -= (pace * state["first"] / (np.sqrt(state["second"]) + 1e-8)).astype(np.float32)
+            total, n = total + loss * int(real.sum()), n + int(real.sum())
+        self.with_weights(flat)
+        return total / max(1, n)
 
     def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
         """Natural log probability of each whole text."""
@@ -249,14 +290,69 @@ def windows(texts: list[np.ndarray], start: int, lanes: int, window: int, hidden
         yield x, t, f, real, o, state
 
 
-def language_model_scores(docs: DataFrame, held_out: Column | None = None, head: int = HEAD, train_docs: int = TRAIN_DOCS, passes: int = PASSES) -> DataFrame:
+def fitted(train: DataFrame, model: GatedModel, words: list[bytes], tokens: int, rounds: int = ROUNDS) -> int:
+    """Train ``model`` on every text of ``train.text``; the number of tokens it was trained on.
+
+    In each round every task trains a copy of the network on its texts of the
+    round (dealt out by a hash of the text), one after the other, and hands on
+    its weights times its tokens, in blocks. Blocks are summed in parts; the
+    driver gets one row a block and part and averages them.
+    """
+    spark, seen = train.sparkSession, 0
+    shards = max(spark.sparkContext.defaultParallelism, tokens // SHARD_TOKENS)
+    for turn in range(rounds):
+        ref = spark.sparkContext.broadcast((model, words))
+
+        def run(batches: Iterator[pa.RecordBatch], ref=ref, rate: float = 0.01 / (1 + turn)) -> Iterator[pa.RecordBatch]:
+            net, words = ref.value
+            net = copy.deepcopy(net)
+            number, state, held, size, n = {w: i for i, w in enumerate(words)}, {}, [], 0, 0
+            for b in batches:
+                for t in texts_of(b):
+                    held.append(np.array([number.get(w, net.v) for w in tokens_of(t)], np.int64))
+                    size += len(held[-1])
+                    if size >= TRAIN_TOKENS:
+                        net.fit(held, rate=rate, state=state)
+                        held, size, n = [], 0, n + size
+            if held:
+                net.fit(held, rate=rate, state=state)
+            n += size
+            if n:
+                part = TaskContext.get().partitionId() % PARTS
+                for i, x in enumerate(np.array_split(net.weights().astype(np.float64) * n, BLOCKS)):
+                    yield pa.record_batch({"block": pa.array([i], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([x.tobytes()], pa.binary())})
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[tuple[int, int], list] = {}
+            for b in batches:
+                for r in b.to_pylist():
+                    x = np.frombuffer(r["weights"], np.float64)
+                    own = sums.setdefault((r["block"], r["part"]), [0, np.zeros(len(x))])
+                    own[0] += r["n"]
+                    own[1] += x
+            for (block, part), (n, x) in sums.items():
+                yield pa.record_batch({"block": pa.array([block], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([x.tobytes()], pa.binary())})
+
+        kinds = "block int, part int, n long, weights binary"
+        texts = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).select("text")
+        got = texts.coalesce(shards).mapInArrow(run, kinds).repartition(BLOCKS, "block", "part").mapInArrow(add, kinds).toArrow().to_pylist()
+        ref.unpersist()
+        if got:
+            n = sum(r["n"] for r in got if r["block"] == 0)
+            blocks = [sum(np.frombuffer(r["weights"], np.float64) for r in sorted(got, key=lambda r: r["part"]) if r["block"] == i) for i in range(BLOCKS)]
+            model.with_weights(np.concatenate(blocks) / n)
+            seen += n
+    return seen
+
+
+def language_model_scores(docs: DataFrame, held_out: Column | None = None, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``docs`` needs doc_id and text; other columns are ignored. All texts that
     aren't held out (by default crc32 of the id as text, modulo 5, is 1; a null
-    id isn't held out) are counted. The network is trained on at most
-    ``train_docs`` of them, those with the smallest hash of id and text. A null
-    text is empty: its only token is the end. Without training tokens all
+    id isn't held out) are counted, and the network is trained on all of them,
+    in ``rounds`` parts. Its weights depend on how the rows lie in partitions.
+    A null text is empty: its only token is the end. Without training tokens all
     counts are 0 and base scores 0; repeated rows pass through; an empty table
     gives an empty result. Scores are log10.
     """
@@ -270,24 +366,15 @@ def language_model_scores(docs: DataFrame, held_out: Column | None = None, head:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where((F.col("c") >= head_threshold(counts, head)) | (F.col("word") == F.lit(bytearray(END)))).toArrow()
     ranked = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    v = min(len(ranked), CLASSES * CLASS_SIZE)
+    v = min(len(ranked), VOCABULARY)
     at = next((i for i, x in enumerate(ranked) if x[1] == END), 0)
     if ranked and at >= v:  # the end is always of the vocabulary
         ranked.insert(v - 1, ranked.pop(at))
     words, c = [w for _, w in ranked], np.array([n for n, _ in ranked], np.int64)
     beyond, kinds = total - int(c[:v].sum()), distinct - v
     model = GatedModel(c[:v], beyond)
-    number = {w: i for i, w in enumerate(words)}
-
-    def numbers(tokens: list[bytes]) -> np.ndarray:
-        return np.array([number.get(w, v) for w in tokens], np.int64)
-
     if total:
-        # far more than enough rows by their hash first, so that the sort sees a few times ``train_docs`` rows, not all
-        share = min(1.0, 8 * train_docs / int(c[words.index(END)]))
-        hashed = train.withColumn("h", F.xxhash64("doc_id", "text")).where(F.shiftrightunsigned("h", 12) <= int(share * (1 << 52)))
-        some = hashed.orderBy("h", "doc_id").limit(train_docs).select("text").toArrow()
-        model.fit([np.minimum(numbers(tokens_of(t.encode())), v) for t in some.column("text").to_pylist()], passes)
+        fitted(train, model, words[:v], int(total), rounds)
 
     ref = spark.sparkContext.broadcast((words, c, model, v))
     base_all, base_beyond = math.log10(total + 0.5 * (distinct + 1)), math.log10(beyond + 0.5 * (kinds + 1))
