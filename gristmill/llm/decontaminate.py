@@ -4,12 +4,14 @@ If a benchmark item of m characters occurs in a text with at most k edits,
 the two share at least m + 1 - q - kq of the item's q-grams on diagonals that
 lie within k of each other. So q-grams shared with the items are counted in
 overlapping diagonal bands; regions that meet the bound are verified by a
-banded alignment. A window count of the text's own q-grams that any item has
-goes first: text without enough of them can't hold an item.
+banded alignment, all regions of a text in step. A window count of the text's
+own q-grams that any item has goes first: text without enough of them can't
+hold an item. Items too short for the bound at q have shorter q-grams.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, IS_SPACE, id_text, texts_of
+from .common import BASE, IS_SPACE, id_text, texts_of, written
 
 Q, EDIT_RATE = 8, 0.08
 #: Items whose lengths differ by less than this factor share a window.
 CLASS_RATIO = 1.25
 #: Items a block holds; the texts pass once for each block of items.
 ITEM_BYTES = 16 << 20
+#: Shared q-grams counted at once, and cells of alignments that go in step.
+HITS, CELLS = 1 << 21, 1 << 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -63,35 +67,55 @@ def needed(m: int, q: int = Q, rate: float = EDIT_RATE) -> int:
     return m + 1 - q - allowed(m, rate) * q
 
 
+def gram_length(m: int, q: int = Q, rate: float = EDIT_RATE) -> int:
+    """The longest q-gram, at most q, of which an item of m bytes must share one at least."""
+    return max(1, min(q, m // (allowed(m, rate) + 1)))
+
+
 class ItemIndex:
-    """The q-grams of a block of items, sorted, with a bit table in front."""
+    """A block of items, indexed by q-grams of the length that each allows."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int = Q, rate: float = EDIT_RATE):
-        self.q, self.rate = q, rate
-        self.ids, self.texts = [], []
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, t in items:
             raw = squeezed(t)
-            if len(raw) and needed(len(raw), q, rate) >= 1:
-                self.ids.append(i)
-                self.texts.append(raw)
+            if len(raw):
+                by_length.setdefault(gram_length(len(raw), q, rate), []).append((i, raw))
+        self.parts = [GramIndex(some, n, rate) for n, some in sorted(by_length.items())]
+
+    def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of each item's occurrences in the squeezed text, best of each region."""
+        raw = squeezed(text)
+        return best_of([x for part in self.parts for x in part.find(raw)])
+
+
+class GramIndex:
+    """The q-grams of items, sorted, with a bit table in front."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, rate: float):
+        self.q = q
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         grams = [q_grams(t, q) for t in self.texts]
         self.m = np.array([len(t) for t in self.texts], np.int64)
         self.k = np.array([allowed(len(t), rate) for t in self.texts], np.int64)
         self.need = np.array([needed(len(t), q, rate) for t in self.texts], np.int64)
-        flat = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+        flat = np.concatenate(grams)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
+        place = np.concatenate([np.arange(len(g)) for g in grams])
         order = np.argsort(flat, kind="stable")
-        self.gram, self.item, self.place = flat[order], item[order], place[order]
+        flat, self.item, self.place = flat[order], item[order], place[order]
+        # distinct q-grams; the postings of one are sorted by item
+        self.gram, first = np.unique(flat, return_index=True)
+        self.post = np.repeat(np.arange(len(self.gram)), np.diff(np.append(first, len(flat)))) << 32 | self.item
         # classes of items of like length; an item with its edits covers at most m + k bytes of the
         # text and has at least ``need`` of its q-grams there, so each class has its own window count
-        kind = np.floor(np.log(np.maximum(self.m, 1)) / np.log(CLASS_RATIO)).astype(np.int64)
+        kind = np.floor(np.log(self.m) / np.log(CLASS_RATIO)).astype(np.int64)
         kinds, own = np.unique(kind, return_inverse=True)
         own = np.minimum(own, 31)
         self.classes = [(int((self.m + self.k)[own == c].max()), int(self.need[own == c].min())) for c in range(min(len(kinds), 32))]
         self.bits = np.zeros(1 << 20, np.uint32)
-        np.bitwise_or.at(self.bits, self._slot(self.gram), np.uint32(1) << own[self.item].astype(np.uint32))
-        self.window = max((w for w, _ in self.classes), default=0)
+        np.bitwise_or.at(self.bits, self._slot(flat), np.uint32(1) << own[self.item].astype(np.uint32))
+        self.window = max(w for w, _ in self.classes)
 
     @staticmethod
     def _slot(grams: np.ndarray) -> np.ndarray:
@@ -117,23 +141,28 @@ class ItemIndex:
                 keep |= hit & (np.cumsum(mark[:-1]) > 0)
         return np.flatnonzero(keep)
 
-    def find(self, text: bytes) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of each item's occurrences in the squeezed text, best of each region."""
-        raw = squeezed(text)
+    def find(self, raw: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, start, end, edits), some of them several times."""
         grams = q_grams(raw, self.q)
-        if not len(grams) or not len(self.texts):
-            return []
-        at = self._likely(grams)
+        at = self._likely(grams) if len(grams) else grams
         if not len(at):
             return []
-        low = np.searchsorted(self.gram, grams[at], "left")
-        size = np.searchsorted(self.gram, grams[at], "right") - low
+        number = np.minimum(np.searchsorted(self.gram, grams[at]), len(self.gram) - 1)
+        real = self.gram[number] == grams[at]
+        at, number = at[real], number[real]
         out: list[tuple[int, int, int, int]] = []
-        for first in range(0, len(at), 1 << 15):  # bounded: a part of the text with all items it meets
+        for first in range(0, len(at), 1 << 15):  # bounded: a part of the text ...
             pass_to = min(len(at), first + (1 << 15))
             a = max(0, int(np.searchsorted(at, at[first] - 2 * self.window)))
-            out += self._regions(raw, at[a:pass_to], low[a:pass_to], size[a:pass_to])
-        return best_of(out)
+            places, own = at[a:pass_to], number[a:pass_to] << 32
+            low, high = np.searchsorted(self.post, own), np.searchsorted(self.post, own + len(self.m))
+            blocks = int((high - low).sum()) // HITS + 1
+            for block in range(blocks):  # ... with a part of the items
+                i, j = len(self.m) * block // blocks, len(self.m) * (block + 1) // blocks
+                if blocks > 1:
+                    low, high = np.searchsorted(self.post, own + i), np.searchsorted(self.post, own + j)
+                out += self._regions(raw, places, low, high - low)
+        return out
 
     def _regions(self, raw: np.ndarray, at: np.ndarray, low: np.ndarray, size: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Count shared q-grams by item and overlapping diagonal band; verify bands that meet the bound."""
@@ -141,26 +170,70 @@ class ItemIndex:
         if not total:
             return []
         index = np.repeat(low - np.cumsum(size) + size, size) + np.arange(total)
-        pos, item = np.repeat(at, size), self.item[index]
-        diagonal = pos - self.place[index]
-        # bands are 2(k+1) wide and start every k+1, so any k+1 neighbouring diagonals lie in one of them
-        step = self.k[item] + 1
-        slot = diagonal // step
-        key = np.concatenate([item << 40 | (slot + (1 << 20)), item << 40 | (slot - 1 + (1 << 20))])
-        places = np.concatenate([self.place[index], self.place[index]])
-        order = np.lexsort((places, key))
-        key, places = key[order], places[order]
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (places[1:] != places[:-1])))  # each q-gram of the item once
-        bands, counts = np.unique(key[fresh], return_counts=True)
-        own = bands >> 40
+        item, place = self.item[index], self.place[index]
+        # cells are k+1 wide and two neighbours a band, so any k+1 neighbouring diagonals lie in one band
+        cell = (np.repeat(at, size) - place) // (self.k[item] + 1)
+        low_cell, width = int(cell.min()), int(cell.max() - cell.min()).bit_length() + 1
+        bits = int(self.m.max()).bit_length()
+        if width + bits + len(self.m).bit_length() > 62:
+            raise ValueError("an item or a text is too long for one index")
+        key = np.sort((item << width | (cell - low_cell)) << bits | place)
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))] >> bits  # each q-gram of the item once a cell
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        cells, counts = key[start], np.diff(np.append(start, len(key)))
+        beside = np.concatenate((np.where(cells[1:] == cells[:-1] + 1, counts[1:], 0), [0]))
+        own = cells >> width
+        ok = counts + beside >= self.need[own]
+        own, band = own[ok], ((cells[ok] & ((1 << width) - 1)) + low_cell) * (self.k[own[ok]] + 1)
+        hit = self._within(raw, own, band)
         out = []
-        for band, i in zip(bands[counts >= self.need[own]].tolist(), own[counts >= self.need[own]].tolist(), strict=True):
-            first = ((band & ((1 << 40) - 1)) - (1 << 20)) * (int(self.k[i]) + 1)
+        for i, first in zip(own[hit].tolist(), band[hit].tolist(), strict=True):
             got = aligned(self.texts[i], raw, first, first + 2 * (int(self.k[i]) + 1) - 1, int(self.k[i]))
             if got:
                 out.append((self.ids[i], *got))
         return out
 
+    def _within(self, raw: np.ndarray, own: np.ndarray, band: np.ndarray) -> np.ndarray:
+        """Which bands hold their item with at most k edits: the costs of ``aligned``, without its places, for many bands at once."""
+        out = np.zeros(len(own), bool)
+        for k in np.unique(self.k[own]).tolist():
+            rows, width = np.flatnonzero(self.k[own] == k), 4 * k + 2
+            rows = rows[np.argsort(self.m[own[rows]], kind="stable")]
+            for at in range(0, len(rows), max(1, CELLS // width)):
+                some = rows[at : at + max(1, CELLS // width)]
+                out[some] = self._costs(raw, own[some], band[some] - k, k, width)
+        return out
+
+    def _costs(self, raw: np.ndarray, own: np.ndarray, left: np.ndarray, k: int, width: int) -> np.ndarray:
+        columns, m = np.arange(width, dtype=np.int16)[:, None], self.m[own]
+        top = int(m.max())
+        pad = top + width + 1
+        text = np.concatenate([np.full(pad, 256, np.int16), raw.astype(np.int16), np.full(pad + top + width, 256, np.int16)])
+        some, row = np.unique(own, return_inverse=True)
+        items = np.full((len(some), top), 257, np.int16)
+        for at, i in enumerate(some.tolist()):
+            items[at, : self.m[i]] = self.texts[i]
+        live, out = np.arange(len(own)), np.zeros(len(own), bool)
+        base = np.clip(left + pad, 0, len(text) - top - width)
+        cost = np.zeros((width, len(own)), np.int16)
+        for i in range(top):
+            cost_up = cost[1:] + np.int16(1)
+            cost = cost + (text[base[live] + i + columns] != items[row[live], i])
+            np.minimum(cost[:-1], cost_up, out=cost[:-1])
+            cost -= columns
+            np.minimum.accumulate(cost, axis=0, out=cost)
+            cost += columns
+            ended = m[live] == i + 1
+            if i % 8 == 7 or ended.any():
+                good = cost.min(axis=0) <= k
+                out[live[ended & good]] = True
+                go_on = good & ~ended
+                if not go_on.all():
+                    live, cost = live[go_on], cost[:, go_on]
+                    if not len(live):
+                        break
+        return out
+
 
 def best_of(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of an item's overlapping finds the one with the fewest edits, then the first."""
@@ -212,14 +285,25 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
 SCHEMA = "doc_id long, item_id long, start long, end long, edits long"
 
 
+_indexes: dict[str, ItemIndex] = {}
+
+
+def index_of(name: str, items: list[tuple[int, bytes]], q: int, rate: float) -> ItemIndex:
+    """The index of a block of items, built once a worker; only the latest is kept."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = ItemIndex(items, q, rate)
+    return _indexes[name]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """Where items occur: doc_id, item_id, start, end, edits, one row an occurrence.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns
     are ignored. Both are compared as bytes with A-Z lower-cased and white
     space squeezed; start and end count in that form. An item occurs where at
-    most ``rate`` of its bytes are edits. Items too short for the bound to
-    demand a shared q-gram (below about q bytes), null and empty texts never
+    most ``rate`` of its bytes are edits, so one of fewer than 1 / ``rate``
+    bytes occurs verbatim, anywhere in a text. Null and empty texts never
     match; items with equal texts each match; repeated rows give repeated
     results, clean documents none. The items are broadcast in blocks of at most
     ``item_bytes``; more items cost more passes over the texts, no more memory.
@@ -228,16 +312,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), F.encode(benchmark["text"], "UTF-8").alias("text")).where("text IS NOT NULL AND length(text) > 0")
     rows, out = id_text(docs), None
     for block in item_blocks(items, item_bytes):
-        ref = spark.sparkContext.broadcast(block)
+        ref, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], ref=ref) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(ref.value, q, rate)
+        def run(batches: Iterator[pa.RecordBatch], ref=ref, name=name) -> Iterator[pa.RecordBatch]:
+            index = index_of(name, ref.value, q, rate)
             for b in batches:
                 found = [(i, *x) for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True) for x in index.find(t)]
                 columns = list(zip(*found, strict=True)) or [[]] * 5
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "end", "edits"])
 
         part = rows.mapInArrow(run, SCHEMA)
+        if out is not None or sum(len(t) for _, t in block) >= item_bytes:  # one of several: done with its items before the next
+            part = written(part, "leaks")
+            ref.unpersist()
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
