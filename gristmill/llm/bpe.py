@@ -26,7 +26,7 @@ from .common import id_text
 
 ROOT, NONE = 0, -1
 #: Bounds of what a worker keeps; when one is reached, that cache starts anew.
-MAX_PIECES, MAX_PAIRS = 400_000, 500_000
+MAX_PIECES, MAX_PAIRS, MAX_STATES = 400_000, 500_000, 100_000
 #: Bytes of a piece after which the agreed tokens are emitted.
 BLOCK = 4096
 
@@ -62,6 +62,14 @@ class Transducer:
         self.moves: dict[int, int] = {}
         self._state(())
 
+    def _restart(self, state: int) -> int:
+        """Forget all states but one; its new number."""
+        nodes = self.states[state]
+        for kept in (self.states, self.number, self.ends, self.moves):
+            kept.clear()
+        self._state(())
+        return self._state(nodes)
+
     def _state(self, nodes: tuple[int, ...]) -> int:
         """The number of a subset state; its tokens that may end now, with their lengths."""
         at = self.number.get(nodes)
@@ -79,13 +87,16 @@ class Transducer:
 
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE, by the lowest rank first: the definition that pairs are judged by."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], sys.maxsize), i) for i in range(len(parts) - 1))
-            if rank == sys.maxsize:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        get, none = self.ranks.get, sys.maxsize
+        cut, rank = list(range(len(data) + 1)), [get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while rank and (low := min(rank)) != none:
+            at = rank.index(low)
+            del cut[at + 1], rank[at]
+            if at < len(rank):
+                rank[at] = get(data[cut[at] : cut[at + 2]], none)
+            if at:
+                rank[at - 1] = get(data[cut[at - 1] : cut[at + 1]], none)
+        return [self.ranks[data[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def holds(self, last: int, token: int) -> bool:
         """Whether ``token`` may follow ``last`` (or begin a piece)."""
@@ -115,6 +126,8 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         state, out, last = 0, [], [NONE]
         moves, ends, pairs = self.moves, self.ends, self.pairs
+        if len(moves) > 4 * MAX_STATES or len(ends) > MAX_STATES:
+            self._restart(0)
         for byte in piece:
             nxt = moves.get(state << 8 | byte)
             state = self._move(state, byte) if nxt is None else nxt
@@ -129,6 +142,8 @@ class Transducer:
             if len(last) > self.block and (at := self._agreed(last, state)) > 0:
                 out += self._chain(last, at)
                 last = last[at:]
+                if len(moves) > 4 * MAX_STATES or len(ends) > MAX_STATES:
+                    state = self._restart(state)
         return out + self._chain(last, len(last) - 1)
 
 
@@ -176,10 +191,11 @@ class Utf8Stream:
 
 
 class TokenDecoder:
-    """Ids to bytes and characters without a loop over whole tokens.
+    """Ids to text through the byte machine, without a loop over most tokens.
 
-    Tokens that are well-formed UTF-8 by themselves leave the byte machine
-    where it starts; only runs of other tokens go through it byte by byte.
+    A table made by the machine tells which tokens, read from its first state,
+    are emitted as they are and leave it there; their bytes are gathered in
+    one step. Runs of other tokens go through the machine byte by byte.
     """
 
     def __init__(self, bytes_of: dict[int, bytes]):
@@ -193,47 +209,57 @@ class TokenDecoder:
         self.flat = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(top)), np.uint8)
         self.at = np.cumsum(self.size) - self.size
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def _gather(self, ids: np.ndarray) -> bytes:
         size = self.size[ids]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
         return self.flat[np.repeat(self.at[ids] - ends + size, size) + np.arange(total)].tobytes()
 
-    def characters(self, ids: np.ndarray) -> int:
-        """Code points of the decoded text, ill-formed parts as U+FFFD."""
+    def decode(self, ids: np.ndarray) -> tuple[bytes, int]:
+        """What the machine emits, as UTF-8 (ill-formed parts are U+FFFD), and its code points."""
         closed = self.closed[ids]
-        n, machine = int(self.chars[ids[closed]].sum()), Utf8Stream()
-        prior = -2
-        for i in np.flatnonzero(~closed).tolist():
-            if i != prior + 1:
-                n += len(machine.close())
-            n += len(machine.feed(self.bytes_of[int(ids[i])]))
-            prior = i
-        return n + len(machine.close())
+        if closed.all():
+            return self._gather(ids), int(self.chars[ids].sum())
+        out, n, machine = [], 0, Utf8Stream()
+        edge = np.flatnonzero(np.diff(closed, prepend=~closed[:1]))
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
+            if closed[a]:
+                text = machine.close()
+                out += [text.encode(), self._gather(ids[a:b])]
+                n += len(text) + int(self.chars[ids[a:b]].sum())
+            else:
+                text = "".join(machine.feed(self.bytes_of[i]) for i in ids[a:b].tolist())
+                out.append(text.encode())
+                n += len(text)
+        text = machine.close()
+        return b"".join([*out, text.encode()]), n + len(text)
 
 
 class Codec:
-    """Whole texts: split by the pattern, encode each piece, remember pieces."""
+    """Whole texts: split by the pattern, encode each piece, remember short pieces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.machine, self.find = Transducer(ranks), regex.compile(pattern).findall
         self.decoder = TokenDecoder(self.machine.bytes_of)
-        self.pieces: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> array:
-        out, pieces = array("I"), self.pieces
-        for piece in self.find(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                ids = array("I", self.machine.encode(piece.encode()))
-                if len(pieces) >= MAX_PIECES:
-                    pieces.clear()
-                if len(piece) <= 64:
-                    pieces[piece] = ids
-            out.extend(ids)
-        return out
+        self.pieces: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        found, pieces, long = self.find(text), self.pieces, {}
+        new = set(found).difference(pieces)
+        if len(pieces) + len(new) > MAX_PIECES:
+            pieces.clear()
+            new = set(found)
+        for piece in new:
+            ids = array("I", self.machine.encode(piece.encode())).tobytes()
+            if len(piece) <= 64 and len(pieces) < MAX_PIECES:
+                pieces[piece] = ids
+            else:
+                long[piece] = ids
+        if long:
+            return np.frombuffer(b"".join([long[p] if p in long else pieces[p] for p in found]), np.uint32)
+        return np.frombuffer(b"".join(map(pieces.__getitem__, found)), np.uint32)
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -255,7 +281,7 @@ def bpe_round_trip(docs: DataFrame, content: bytes, pattern: str, keep_ids: bool
 
     ``content`` is a rank file (broadcast; about 1 MB). One row per row of
     ``docs``: doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit),
-    decoded_sha256, n_chars (code points from the streaming decoder), and with
+    decoded_sha256 and n_chars (bytes and code points that the streaming decoder emits), and with
     ``keep_ids`` the ids. A null text counts as empty: no tokens. Repeated rows
     and null ids pass through; an empty table gives an empty result.
     """
@@ -266,11 +292,12 @@ def bpe_round_trip(docs: DataFrame, content: bytes, pattern: str, keep_ids: bool
         for b in batches:
             n, ids_sha, out_sha, chars, kept = [], [], [], [], []
             for text in b.column("text").to_pylist():
-                ids = np.frombuffer(own.encode(text), np.uint32)
+                ids = own.encode(text)
+                out, count = own.decoder.decode(ids)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                out_sha.append(hashlib.sha256(own.decoder.decode(ids)).hexdigest())
-                chars.append(own.decoder.characters(ids))
+                out_sha.append(hashlib.sha256(out).hexdigest())
+                chars.append(count)
                 if keep_ids:
                     kept.append(ids.astype(np.int64))
             cols = {"doc_id": b.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(out_sha, pa.string()), "n_chars": pa.array(chars, pa.int64())}
