@@ -9,6 +9,7 @@ it an index of (doc_id, start, n). A row's address follows from its number, so
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -26,6 +27,15 @@ from .common import file_system, id_text, scratch, texts_of, written
 SEQUENCE, ROWS_A_BATCH = 1024, 256
 #: Words a worker remembers before it starts anew, about 150 MB.
 MAX_WORDS = 600_000
+#: The declaration of a tokenizer whose ids of a text are those of its words.
+PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "kind": "BPE",
+}
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,20 +45,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def plain_words(definition: str) -> bool:
+    """Whether a text's ids are those of its words, by the tokenizer's declared normaliser, splitter and special tokens."""
+    own = json.loads(definition)
+    marks = [t["content"] for t in own.get("added_tokens") or ()]
+    return all(m.startswith("<|") and not m.split()[1:] for m in marks) and {"normalizer": own.get("normalizer"), "pre_tokenizer": own.get("pre_tokenizer"), "kind": (own.get("model") or {}).get("type")} == PLAIN
+
+
 class WordEncoder:
     """The tokenizers library behind a bounded memory of words.
 
-    The tokenizer lower-cases, splits at white space and drops it, so a text's
-    ids are those of its words in order. A word of lower-case Latin letters
-    in normal form is one piece as it stands and goes to the library's model
-    directly; any other word goes through the whole tokenizer.
+    If the tokenizer is one of ``plain_words``, a text's ids are those of its
+    words in order. A word of lower-case Latin letters in normal form is one
+    piece as it stands and goes to the library's model directly; any other word
+    goes through the whole tokenizer, as whole texts do for another tokenizer.
     """
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.letters = Tokenizer.from_str(definition), {}, byte_letters()
+        self.tokenizer, self.known, self.letters, self.by_word = Tokenizer.from_str(definition), {}, byte_letters(), plain_words(definition)
         self.model = self.tokenizer.model
 
     def _letters_only(self, word: str) -> bool:
@@ -62,18 +79,20 @@ class WordEncoder:
             return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        # special tokens are written in lower case between <| and |>; a text with such marks keeps its case
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        known, out = self.known, []
-        for ws in words:
-            for w in ws:
-                if w not in known:
-                    known[w] = self._ids(w.decode())
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, ws)), np.uint32))
-            if len(known) > MAX_WORDS:
+    def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        for t in texts:
+            if not self.by_word:
+                yield np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.uint32)
+                continue
+            # special tokens are written in lower case between <| and |>; a text with such marks keeps its case
+            words, known = (t if b"<|" in t else t.lower()).split(), self.known
+            new = set(words).difference(known)
+            if len(known) + len(new) > MAX_WORDS:
                 known.clear()
-        return out
+                new = set(words)
+            for w in new:
+                known[w] = self._ids(w.decode())
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32)
 
 
 _encoders: dict[int, WordEncoder] = {}
