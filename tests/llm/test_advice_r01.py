@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline
+from gristmill.llm import simhash
 from gristmill.llm.common import written
+from gristmill.llm.components import components
 from gristmill.llm.language_id import counted, gram_vectors, train
-from gristmill.llm.simhash import copies_of_earlier, runs_of
+from gristmill.llm.simhash import copies, runs_of
 from gristmill.llm.substring_dedup import chains, shared_passages
 
 SF = "/root/testdata/sf0.001"
@@ -49,7 +51,7 @@ def test_copies_against_brute_force():
             if len(a & b) >= 0.6 * len(a | b):
                 x, y = label[i], label[j]
                 label = [min(x, y) if v in (x, y) else v for v in label]
-    assert copies_of_earlier(fp, sets, 9, 0.6).tolist() == [label[i] != i for i in range(120)]
+    assert copies(fp, sets, 9, 0.6).tolist() == label
 
 
 def test_decontamination_decides_row_by_row(spark):
@@ -85,3 +87,65 @@ def test_a_long_text_teaches_all_its_ngrams(spark):
     codes, counts = counted(text)
     want = counts.astype(np.float64) @ gram_vectors(codes).astype(np.float64)
     assert names == ["zh"] and np.allclose(got[0], want / np.linalg.norm(want), atol=1e-4)
+
+
+def test_language_stage_rejects_random_letters(spark):
+    """The profiles decide: prose stays, long strings of random letters go; without labels all texts with letters stay."""
+    r = np.random.default_rng(12)
+    junk = [(9000 + i, "".join(chr(97 + x) if x < 26 else " " for x in r.integers(0, 31, 400)), None) for i in range(20)]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    more = docs.unionByName(spark.createDataFrame([*junk, (9100, "Ok", None), (9101, "12 34", None), (9102, None, "en")], "doc_id long, text string, lang string"))
+    gone = {x.doc_id for x in more.exceptAll(corpus_pipeline.language(spark, more, SF)).collect()}
+    assert gone == {x[0] for x in junk} | {9101, 9102}
+    none = more.withColumn("lang", F.lit(None).cast("string"))
+    assert {x.doc_id for x in none.exceptAll(corpus_pipeline.language(spark, none, SF)).collect()} == {9101, 9102}
+
+
+def brute_copies(rows, same=0.8, bits=64):
+    """Labels of texts linked by their sets of five-word runs."""
+    sets = [set(runs_of((t or "").encode()).tolist()) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= same * len(sets[i] | sets[j]) - 1e-9:
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    return label
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_copies_in_blocks_against_brute_force(spark, monkeypatch, block):
+    """Large groups of near copies, chains among them, in one block or many: the same rows go."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    r = np.random.default_rng(15)
+    rows = []
+    for family in range(5):
+        text = fresh(r, 260)
+        for step in range(40):
+            own = list(text) if step % 4 else list(text := [*text[:-6], *fresh(r, 6)])
+            for at in r.integers(0, len(own), int(r.integers(0, 3))):
+                own[at] = "other"
+            rows.append((1000 * family + step, " ".join(own)))
+    label = brute_copies(rows)
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string"), "docs")
+    gone = {x.doc_id for x in simhash.near_copies(docs, bits=9, leaf=64).collect()}
+    assert gone == {rows[i][0] for i in range(len(rows)) if label[i] != i}
+    assert 100 < len(gone) < 199
+
+
+def test_fingerprints_that_share_a_half_are_dealt_out(spark):
+    """Thousands of fingerprints with one half: no shard holds them all, and no link is lost."""
+    r = np.random.default_rng(16)
+    low = r.integers(0, 1 << 32, 6000, dtype=np.int64)
+    low[:1000] = low[1000:2000] ^ (np.int64(1) << r.integers(0, 31, 1000)) ^ (np.int64(1) << r.integers(0, 31, 1000))
+    fp = np.unique(np.concatenate([low | (np.int64(0x1234567) << 32), r.integers(0, 1 << 62, 500, dtype=np.int64)]))
+    whole = fp.view(np.uint64)
+    want = np.arange(len(fp))
+    for i in range(len(fp)):
+        near = np.flatnonzero(np.bitwise_count(whole ^ whole[i]) <= 3)
+        if len(near) > 1:
+            old = np.unique(want[near])
+            want[np.isin(want, old)] = old[0]
+    docs = written(spark.createDataFrame([(int(x),) for x in fp], "fp long"), "fp")
+    got = {x.u: x.v for x in components(simhash.links(docs, len(fp), 3, leaf=64)).collect()}
+    assert [got.get(x, x) for x in fp.tolist()] == fp[want].tolist() and len(got) > 900
