@@ -25,6 +25,9 @@ DIMENSIONS, N = 1024, 3
 WEIGHT = 1 << 32
 #: Distinct n-grams, and texts, that a task holds per language before it bundles them (sums of 2**20 weights are exact in a double).
 HELD, HELD_TEXTS = 100_000, 1 << 20
+#: A text of so many n-grams or more whose best cosine is below the floor is in no known language (random letters stay
+#: below 0.1 at any length; a shorter text tells too little to be rejected).
+FLOOR, FLOOR_GRAMS = 0.1, 24
 _tables: list[np.ndarray] = []
 
 
@@ -131,11 +134,11 @@ def train(docs: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], np.
 
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
-    """The columns of ``docs`` but text, then lang_pred and score of its column text."""
+    """The columns of ``docs`` but text, then lang_pred, score and n_grams (n-grams with repeats) of its column text."""
     others = [c for c in docs.columns if c != "text"]
     ref = docs.sparkSession.sparkContext.broadcast((names, prototypes))
 
-    def part(texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def part(texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
         labels, profiles = ref.value
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         counts = [counted(t) if t else None for t in texts]
@@ -154,21 +157,21 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFr
             best = cosines.argmax(axis=1)
             for i, k, c in zip(rows, best.tolist(), cosines[np.arange(len(rows)), best].tolist(), strict=True):
                 langs[i], scores[i] = labels[k], min(1.0, max(0.0, c))
-        return langs, scores
+        return langs, scores, [0 if c is None else int(c[1].sum()) for c in counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 some = b.slice(at, 64)
-                langs, scores = part(some.column("text").to_pylist())
-                yield pa.record_batch({c: some.column(c) for c in others} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())})
+                langs, scores, grams = part(some.column("text").to_pylist())
+                yield pa.record_batch({c: some.column(c) for c in others} | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64()), "n_grams": pa.array(grams, pa.int64())})
 
-    kinds = T.StructType([*(docs.schema[c] for c in others), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kinds = T.StructType([*(docs.schema[c] for c in others), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_grams", T.LongType())])
     return docs.mapInArrow(run, kinds)
 
 
 def language_id(docs: DataFrame, held_out: Column | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, lang; others ignored): doc_id, held_out, lang_pred, score.
+    """One row per row of ``docs`` (doc_id, text, lang; others ignored): doc_id, held_out, lang_pred, score, n_grams.
 
     Trains on rows that aren't held out (by default crc32 of the id as text,
     modulo 3, is 1; a null id isn't held out) and have text and lang. A null
@@ -182,7 +185,14 @@ def language_id(docs: DataFrame, held_out: Column | None = None, dimensions: int
     return predict(own, names, prototypes)
 
 
-def with_language(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """row (all columns of ``docs`` as they are), lang_pred, score; trained on every row with text and lang."""
+def in_known_languages(docs: DataFrame, floor: float = FLOOR, least: int = FLOOR_GRAMS, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a language that its labelled rows teach.
+
+    A null text, or one without a letter, goes; so does a text of ``least``
+    n-grams or more whose best cosine is below ``floor``. If there is no
+    labelled row to learn from, every text with a letter stays.
+    """
     names, prototypes = train(docs, dimensions)
-    return predict(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"]), names, prototypes)
+    found = predict(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"]), names, prototypes)
+    known = (F.col("n_grams") > 0) & ((F.col("n_grams") < least) | (F.col("score") >= floor) | F.lit(not names))
+    return found.where(known).select("row.*")
