@@ -20,9 +20,10 @@ from gristmill.llm.components import components
 from gristmill.llm.decontaminate import contaminated
 from gristmill.llm.exact_dedup import exact_dedup
 from gristmill.llm.language_id import language_id
-from gristmill.llm.language_model import language_model_scores, tokens_of
+from gristmill.llm import language_model
+from gristmill.llm.language_model import fitted, language_model_scores, tokens_of
 from gristmill.llm.secrets import secret_scan
-from gristmill.llm.simhash import fingerprint, simhash_dedup
+from gristmill.llm.simhash import fingerprint, runs_of, simhash_dedup
 from gristmill.llm.substring_dedup import shared_passages
 from gristmill.llm.token_files import read_back, token_files, write_sequences
 
@@ -90,7 +91,7 @@ def test_decontamination(spark, docs, none):
 
 
 def test_language_model(docs, none):
-    rows = language_model_scores(docs, head=3, train_docs=4, passes=1).collect()
+    rows = language_model_scores(docs, head=3).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     counts = Counter(w for i, t, _ in ROWS if not held(i) for w in tokens_of((t or "").encode()))
     total, distinct = sum(counts.values()), len(counts)
@@ -102,6 +103,15 @@ def test_language_model(docs, none):
     assert language_model_scores(none).count() == 0
 
 
+def test_language_model_is_fitted_on_every_training_token(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_model, "fitted", lambda *a: seen.append((fitted(*a), a[3])) or seen[-1][0])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    rows = language_model_scores(docs).select("train_tokens", "held_out", "score", "base_score").collect()
+    assert seen[0][0] == seen[0][1] == rows[0].train_tokens > 10_000
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
 def norm_key(i, t):
     return i, t
 
@@ -223,17 +233,18 @@ def test_pipeline(spark, docs):
 
 
 def test_pipeline_run_against_brute_force(spark):
+    """Language and near copies by the stages' own definitions: letters, then an exact Jaccard similarity of 0.8 of the five-word runs."""
     got = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     kept, seen = [], set()
     for r in rows:
         if any(c.isalpha() for c in r.text) and norm(r.text) not in seen:
             seen.add(norm(r.text))
-            kept.append((r.doc_id, r.text, fingerprint(r.text.encode())))
+            kept.append((r.doc_id, r.text, set(runs_of(r.text.encode()).tolist())))
     label = {i: i for i, *_ in kept}
     for i, _, a in kept:
         for j, _, b in kept:
-            if j < i and (a ^ b).bit_count() <= corpus_pipeline.NEAR_BITS:
+            if j < i and len(a & b) >= 0.8 * len(a | b) - 1e-9:
                 x, y = label[i], label[j]
                 label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
     squeeze = lambda t: norm("".join(c.lower() if c < "\x80" else c for c in t)).strip(" ")
