@@ -13,7 +13,7 @@ from gristmill.llm.bpe import bpe_round_trip
 from gristmill.llm.common import ASCII_SPACE, documents, written
 from gristmill.llm.decontaminate import contaminated
 from gristmill.llm.exact_dedup import exact_dedup
-from gristmill.llm.language_id import with_language
+from gristmill.llm.language_id import in_known_languages
 from gristmill.llm.queries import byte_bpe
 from gristmill.llm.simhash import near_copies, node_of
 
@@ -28,8 +28,8 @@ def without(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in no language at all (null, or without a letter) are rejected."""
-    return with_language(docs).where("lang_pred <> 'und'").select("row.*")
+    """Texts in no language that the labelled rows teach are rejected: null, without a letter, or unlike all profiles."""
+    return in_known_languages(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
