@@ -16,7 +16,7 @@ from . import schema as s
 from .functions import dates, liberal, similarity
 from .functions.locales import get_locale
 from .operators import mapping
-from .operators.validation import CODES, ErrorMatrix, Validator
+from .operators.validation import CODES, ErrorMatrix, Validator, with_rows
 from .plans.session import ImportSession, parse_and_validate
 from .sources import delimited
 from .workers import shared_dir
@@ -177,7 +177,9 @@ register("bitmap_count", lambda sp, d: matrix(sp, d).counts(), CELLS_SQL + 'SELE
 register("bitmap_column_errors", lambda sp, d: matrix(sp, d).column_errors(1).select(F.col("_row").alias("row")), CELLS_SQL + 'SELECT "row" FROM err WHERE col = 1')
 register("bitmap_row_columns", lambda sp, d: matrix(sp, d).row_error_columns().select(F.col("_row").alias("row"), F.array_join("cols", ",").alias("cols")), CELLS_SQL + 'SELECT "row", string_agg(CAST(col AS VARCHAR), \',\' ORDER BY col) AS cols FROM err GROUP BY "row"')
 register("bitmap_set_code", lambda sp, d: matrix(sp, d).clear().set_code(5, 2, 9).cells().select("row", F.col("col").cast("int").alias("col"), F.col("code").cast("int").alias("code")), 'SELECT CAST(5 AS BIGINT) AS "row", CAST(2 AS INTEGER) AS col, CAST(9 AS INTEGER) AS code')
-register("bitmap_memory", lambda sp, d: checked_customers(sp, d).checked.agg(((F.ceil(F.count(F.lit(1)) * 4 / 32) * 4) + F.count(F.lit(1)) * 4).cast("long").alias("bytes")), "SELECT CAST(ceil(count(*) * 4 / 32) * 4 + count(*) * 4 AS BIGINT) AS bytes FROM customer")
+register("bitmap_memory", lambda sp, d: sp.createDataFrame([(matrix(sp, d).byte_size(), checked_customers(sp, d).memory_usage())], "bitmap long, both long"),
+         "SELECT CAST(ceil(count(*) * 4 / 32) * 4 AS BIGINT) AS bitmap, CAST(ceil(count(*) * 4 / 32) * 4 + count(*) * 4 AS BIGINT) AS both FROM customer")
+register("bitmap_each_error", lambda sp, d: sp.createDataFrame([(r.row, r.col) for r in matrix(sp, d).for_each_error()], "row long, col int"), CELLS_SQL + 'SELECT "row", col FROM err')
 register("code_matrix", lambda sp, d: checked_customers(sp, d).codes.select(F.col("_row").alias("row"), F.array_join(CODES, ",").alias("codes")),
          CELLS_SQL + """SELECT "row", string_agg(CAST(CASE WHEN field = 'name' AND code = 5 THEN 2 WHEN field = 'balance' AND code > 0 THEN code - 1 WHEN field = 'segment' AND code = 6 THEN 2
              WHEN field = 'nation' AND code = 4 THEN 2 ELSE code END AS VARCHAR), ',' ORDER BY col) AS codes FROM cells GROUP BY "row\"""")
@@ -350,18 +352,21 @@ SIDE = "list_avg(list_transform({0}, lambda s: list_max(list_transform({1}, lamb
 register("levenshtein_names", pair_query(F.levenshtein), PAIRS_SQL + "SELECT k, CAST(levenshtein(a, b) AS INTEGER) AS x FROM q")
 register("levenshtein_similarity", pair_query(lambda a, b: F.round(similarity.levenshtein_similarity_column(a, b), 6)), PAIRS_SQL + f"SELECT k, round(CAST({SIMILAR.format('a', 'b')} AS DOUBLE), 6) AS x FROM q")
 register("token_similarity", pair_query(lambda a, b: F.round(similarity.token_similarity_column(a, b), 6)), PAIRS_SQL + f"SELECT k, round((x1 + x2) / 2, 6) AS x FROM (SELECT k, {SIDE.format('ta', 'tb')} AS x1, {SIDE.format('tb', 'ta')} AS x2 FROM (SELECT k, {TOKENS.format(NORMAL.format('a'))} AS ta, {TOKENS.format(NORMAL.format('b'))} AS tb FROM q))")
-register("contains_match", pair_query(lambda a, b: similarity.contains_match_column(a, F.substring_index(a, " ", 1))), PAIRS_SQL + f"SELECT k, length({NORMAL.format('a')}) >= 3 AND length({NORMAL.format('string_split(a, chr(32))[1]')}) >= 3 AS x FROM q")
+FIRST_WORD = "CASE WHEN k % 2 = 0 THEN {0}(a, ' ', {1}) ELSE {0}(b, ' ', {1}) END"
+register("contains_match", lambda sp, d: name_pairs(sp, d).select("k", similarity.contains_match_column(F.col("a"), F.upper(F.expr(FIRST_WORD.format("substring_index", 1)))).alias("x")),
+         PAIRS_SQL + f"SELECT k, length(h) >= 3 AND length(t) >= 3 AND (contains(h, t) OR contains(t, h)) AS x FROM (SELECT k, {NORMAL.format('a')} AS h, {NORMAL.format('upper(' + FIRST_WORD.format('split_part', 1) + ')')} AS t FROM q)")
 register("common_prefix", pair_query(similarity.common_prefix_length_column), PAIRS_SQL + "SELECT k, CAST(coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i))), 0) AS INTEGER) AS x FROM q")
 register("normalize_headers", lambda sp, d: table(sp, d, "part").select(F.col("p_partkey").alias("k"), similarity.normalize_column(F.concat(F.lit("  "), F.upper("p_name"), F.lit("__Id-"), F.col("p_brand"))).alias("x")),
          f"SELECT p_partkey AS k, {NORMAL.format(chr(39) + '  ' + chr(39) + ' || upper(p_name) || ' + chr(39) + '__Id-' + chr(39) + ' || p_brand')} AS x FROM part")
 register("tokenize_headers", lambda sp, d: table(sp, d, "part").select(F.col("p_partkey").alias("k"), F.array_join(similarity.tokenize_column(F.concat("p_name", F.lit("_-"), F.col("p_brand"))), "|").alias("x")),
          f"SELECT p_partkey AS k, array_to_string({TOKENS.format(NORMAL.format('p_name || ' + chr(39) + '_-' + chr(39) + ' || p_brand'))}, '|') AS x FROM part")
-register("compute_similarity", pair_query(lambda a, b: F.round(similarity.similarity_column(a, b), 6)), PAIRS_SQL + f"""
-    , n AS (SELECT k, {NORMAL.format('a')} AS h, {NORMAL.format('b')} AS t FROM q),
+#: The similarity of ``h`` and ``t`` (normalised) of a table n, as a table r with a column score.
+SCORED = f"""
     m AS (SELECT *, {TOKENS.format('h')} AS ta, {TOKENS.format('t')} AS tb, coalesce(list_max(list_filter(range(0, least(length(h), length(t)) + 1), lambda i: left(h, i) = left(t, i))), 0) AS p,
-          CAST(greatest(length(h), length(t)) AS DOUBLE) AS hi, least(length(h), length(t)) AS lo FROM n)
-    SELECT k, round(CASE WHEN h = t THEN 1.0 ELSE greatest({SIMILAR.format('h', 't')}, CASE WHEN lo >= 3 AND (contains(h, t) OR contains(t, h)) THEN 0.7 + 0.2 * lo / hi ELSE 0 END,
-        ({SIDE.format('ta', 'tb')} + {SIDE.format('tb', 'ta')}) / 2, CASE WHEN p >= 3 THEN 0.5 + 0.4 * p / hi ELSE 0 END) END, 6) AS x FROM m""")
+          CAST(greatest(length(h), length(t)) AS DOUBLE) AS hi, least(length(h), length(t)) AS lo FROM n),
+    r AS (SELECT *, round(CASE WHEN h = t THEN 1.0 ELSE greatest({SIMILAR.format('h', 't')}, CASE WHEN lo >= 3 AND (contains(h, t) OR contains(t, h)) THEN 0.7 + 0.2 * lo / hi ELSE 0 END,
+        ({SIDE.format('ta', 'tb')} + {SIDE.format('tb', 'ta')}) / 2, CASE WHEN p >= 3 THEN 0.5 + 0.4 * p / hi ELSE 0 END) END, 6) AS score FROM m)"""
+register("compute_similarity", pair_query(lambda a, b: F.round(similarity.similarity_column(a, b), 6)), PAIRS_SQL + f", n AS (SELECT k, {NORMAL.format('a')} AS h, {NORMAL.format('b')} AS t FROM q), {SCORED} SELECT k, score AS x FROM r")
 
 CATALOGUE = s.Schema({
     "price": s.ColumnDef("number", aliases=("unit price", "amount")), "email": s.ColumnDef("string", [s.email()], aliases=("mail", "e-mail", "email address")), "phone": s.ColumnDef("phone", aliases=("tel", "gsm")),
@@ -374,9 +379,17 @@ def headers_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(h,) for h in HEADERS], "header string")
 
 
-register("map_columns_scores", lambda sp, d: mapping.score_frame(headers_frame(sp), CATALOGUE).where("score >= 0.6").select("header", "schema_column", F.round("score", 6).alias("score")), """
-    SELECT * FROM (VALUES ('Unit-Price', 'price', 1.0), ('E-Mail', 'email', 1.0), ('telephone', 'phone', 0.811111), ('createdAt', 'created_at', 0.9), ('Product Nam', 'name', 0.95), ('qty', 'stock', 1.0)) AS t(header, schema_column, score)""")
-del SQL["map_columns_scores"]  # scores of aliases are checked by tests against the scalar functions
+def text_rows(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join(f"'{quoted(x)}'" for x in r) + ")" for r in rows)
+
+
+CANDIDATES = [(name, x) for name, c in CATALOGUE.columns.items() for x in (name, *c.aliases)]
+register("map_columns_scores", lambda sp, d: mapping.score_frame(headers_frame(sp), CATALOGUE).where("score >= 0.6").select("header", "schema_column", F.round("score", 6).alias("score")), f"""
+    WITH n AS (SELECT header, schema_column, {NORMAL.format('header')} AS h, {NORMAL.format('matched')} AS t FROM (VALUES {text_rows([(h,) for h in HEADERS])}) AS a(header), (VALUES {text_rows(CANDIDATES)}) AS b(schema_column, matched)),
+    {SCORED} SELECT header, schema_column, max(score) AS score FROM r GROUP BY header, schema_column HAVING max(score) >= 0.6""")
+#: The driver's search for the best match of each header and column, which stops at an exact one.
+register("best_matches", lambda sp, d: sp.createDataFrame([(h, n, round(similarity.compute_best_match(h, n, c.aliases)[0], 6)) for h in HEADERS for n, c in CATALOGUE.columns.items()], "header string, schema_column string, score double"),
+         SQL["map_columns_scores"].replace(" HAVING max(score) >= 0.6", ""))
 register("map_columns_best", lambda sp, d: mapping.mapping_frame(sp, mapping.map_columns(HEADERS, CATALOGUE)).select("csv_index", "schema_column", "confidence"), """
     SELECT CAST(i AS INTEGER) AS csv_index, c AS schema_column, k AS confidence FROM (VALUES (0, 'price', 'alias'), (1, 'email', 'alias'), (2, 'phone', 'fuzzy'), (3, 'created_at', 'fuzzy'), (4, 'name', 'fuzzy'), (5, 'stock', 'alias'), (6, '', 'none')) AS t(i, c, k)""")
 
@@ -428,8 +441,59 @@ register("csv_semicolon", csv_query("semicolon", delimited.Options(delimiter=";"
 register("csv_tab", csv_query("tab", delimited.Options(delimiter="\t")), QUOTED_SQL)
 register("csv_no_header", csv_query("no_header", delimited.Options(header=False)), QUOTED_SQL.replace("AS key", "AS _c0").replace("AS name", "AS _c1").replace("AS brand", "AS _c2"))
 register("csv_compatible", csv_query("compatible", compatible=True), QUOTED_SQL)
-register("csv_max_rows", csv_query("max_rows", finish=lambda df: delimited.first_rows(df, 100).agg(F.count(F.lit(1)).alias("n"))), "SELECT CAST(100 AS BIGINT) AS n")
-register("csv_preview", csv_query("preview", finish=lambda df: delimited.preview(df).agg(F.count(F.lit(1)).alias("n"))), "SELECT CAST(10 AS BIGINT) AS n")
+
+
+def ordered_file(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """``quoted_part`` by key in one file, read with row numbers."""
+    df = quoted_part(spark, sf_dir).orderBy(F.col("key").cast("long")).coalesce(1)
+    return with_rows(delimited.read_native(spark, exported(spark, df, label, delimited.Options())))
+
+
+register("csv_max_rows", lambda sp, d: delimited.first_rows(ordered_file(sp, d, "max_rows"), 100).drop("_row"), QUOTED_SQL + " ORDER BY p_partkey LIMIT 100")
+register("csv_preview", lambda sp, d: delimited.preview(ordered_file(sp, d, "preview")), QUOTED_SQL.replace("SELECT ", "SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS _row, ", 1) + " ORDER BY p_partkey LIMIT 10")
+
+
+def text_file(spark: SparkSession, sf_dir: str, label: str, line: str, ending: str = "\n") -> str:
+    """One file of lines made from nation by an expression, behind a header, in the order of keys."""
+    lines = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("k"), F.expr(line).alias("value")).unionByName(spark.createDataFrame([(-1, "key,name,region")], "k int, value string"))
+    path = f"{shared_dir(spark)}/gristmill-text/{spark.sparkContext.applicationId}/{label}"
+    lines.orderBy("k").coalesce(1).select("value").write.mode("overwrite").text(path, lineSep=ending)
+    return path
+
+
+def compatible_rows(label: str, line: str, ending: str = "\n", options: delimited.Options = delimited.Options()) -> Query:
+    return lambda sp, d: delimited.columns_of(delimited.read_compatible(sp, text_file(sp, d, label, line, ending) + "/*.txt", options), ["key", "name", "region"])
+
+
+KEY, REGION = "CAST(n_nationkey AS STRING)", "CAST(n_regionkey AS STRING)"
+#: Without quotes a row's last field runs to the line's end, whatever it holds.
+register("csv_plain_long_rows", compatible_rows("plain_long", f"{KEY} || ',' || n_name || ',' || {REGION} || CASE WHEN n_nationkey % 3 = 0 THEN ',more' ELSE '' END", "\r\n"),
+         f"SELECT CAST(n_nationkey AS BIGINT) AS _row, {KEY} AS key, n_name AS name, {REGION} || CASE WHEN n_nationkey % 3 = 0 THEN ',more' ELSE '' END AS region FROM nation")
+#: A short row without quotes takes its missing fields from the next line; at the end of the text it is one field.
+register("csv_plain_short_rows", compatible_rows("plain_short", f"{KEY} || ',' || n_name || CASE WHEN n_nationkey % 2 = 1 THEN ',' || {REGION} ELSE '' END"),
+         f"""WITH a AS (SELECT n_nationkey AS k, n_name AS n, {REGION} AS r FROM nation)
+         SELECT CAST(a.k // 2 AS BIGINT) AS _row, CASE WHEN b.k IS NULL THEN a.k || ',' || a.n ELSE CAST(a.k AS STRING) END AS key, CASE WHEN b.k IS NULL THEN '' ELSE a.n || chr(10) || b.k END AS name,
+         CASE WHEN b.k IS NULL THEN '' ELSE b.n || ',' || b.r END AS region FROM a LEFT JOIN a b ON b.k = a.k + 1 WHERE a.k % 2 = 0""")
+#: With quotes a short row is padded, a blank line is a row of empty fields, and a quoted field holds quotes and line breaks.
+RAGGED = f"CASE WHEN n_nationkey % 2 = 0 THEN '\"' || {KEY} || '\",' || n_name ELSE {KEY} || ',\"' || n_name || chr(10) || '\"\"x\"\"\",' || {REGION} END"
+RAGGED_SQL = f"SELECT n_nationkey AS k, {KEY} AS key, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE n_name || chr(10) || '\"x\"' END AS name, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE {REGION} END AS region FROM nation"
+BLANKS = f"{RAGGED} || CASE WHEN n_nationkey % 5 = 0 THEN chr(10) ELSE '' END"
+register("csv_quoted_ragged", compatible_rows("ragged", BLANKS), f"""WITH a AS ({RAGGED_SQL}), b AS (SELECT k, 0 AS blank, key, name, region FROM a UNION ALL SELECT k, 1, '', '', '' FROM a WHERE k % 5 = 0)
+    SELECT CAST(row_number() OVER (ORDER BY k, blank) - 1 AS BIGINT) AS _row, key, name, region FROM b""")
+register("csv_quoted_no_blanks", compatible_rows("no_blanks", BLANKS, options=delimited.Options(skip_empty_lines=True)), f"SELECT CAST(k AS BIGINT) AS _row, key, name, region FROM ({RAGGED_SQL})")
+register("csv_native_lines", lambda sp, d: delimited.read_native(sp, text_file(sp, d, "native_lines", RAGGED)), f"SELECT key, name, region FROM ({RAGGED_SQL})")
+register("csv_native_split", lambda sp, d: delimited.read_native(sp, text_file(sp, d, "native_split", f"{KEY} || ',\"' || n_name || ', \"\"x\"\"\",' || {REGION}"), delimited.Options(multiline=False)), f"SELECT {KEY} AS key, n_name || ', \"x\"' AS name, {REGION} AS region FROM nation")
+register("csv_other_quote", lambda sp, d: delimited.columns_of(delimited.read_compatible(sp, text_file(sp, d, "other_quote", f"{KEY} || ',~' || n_name || ', ~~x~~~,' || {REGION}") + "/*.txt", delimited.Options(quote="~")), ["key", "name", "region"]).drop("_row"),
+         f"SELECT {KEY} AS key, n_name || ', ~x~' AS name, {REGION} AS region FROM nation")
+
+
+def from_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A literal text of a small table."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string")).collect()
+    return delimited.read_string(spark, delimited.to_text(["key", "name", "region"], [list(r) for r in rows])).drop("_row")
+
+
+register("csv_from_string", from_string, f"SELECT {KEY} AS key, n_name AS name, {REGION} AS region FROM nation")
 register("csv_skip_empty", lambda sp, d: delimited.skip_empty(table(sp, d, "part").select(*[F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.col(c).cast("string")).alias(c) for c in ("p_partkey", "p_name")])), "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name FROM part WHERE p_partkey % 3 <> 0")
 register("parse_and_validate", lambda sp, d: parse_and_validate(sp, exported(sp, quoted_part(sp, d), "validated", delimited.Options()), s.Schema({"key": s.ColumnDef("integer", [s.maximum(50)]), "name": s.ColumnDef(), "brand": s.ColumnDef("string", [s.required()])})).counts(),
          "SELECT * FROM (SELECT 'key' AS field, 'max' AS rule, count(*) FILTER (p_partkey > 50) AS n FROM part UNION ALL SELECT 'brand', 'required', count(*) FILTER (p_partkey % 7 = 0) FROM part) WHERE n > 0")
@@ -442,4 +506,44 @@ def session_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("session_import", session_import, CELLS_SQL + STATS_SQL)
-register("import_stats", session_import, CELLS_SQL + STATS_SQL)
+
+
+def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of an accepted import, as its result has them."""
+    session = ImportSession(spark, CUSTOMER)
+    session.load_frame(customers(spark, sf_dir))
+    stats = session.accept().stats
+    names = ("total_rows", "valid_rows", "invalid_rows", "error_count")
+    return spark.createDataFrame([tuple(int(stats[n]) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+register("import_stats", accepted, CELLS_SQL + STATS_SQL.replace("AS error_rows", "AS invalid_rows"))
+
+
+def auto_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether mappings need no review: all schema columns mapped, fuzzy ones with the threshold at least."""
+    nation = mapping.map_columns(table(spark, sf_dir, "nation").columns, NATION)
+    loose = mapping.map_columns(["Unit-Price", "email", "tel", "createdAt", "Product Nam", "qty"], CATALOGUE)
+    rows = [("aliases", 0.8, nation), ("missing", 0.8, mapping.map_columns(HEADERS[:3], CATALOGUE)), ("fuzzy", 0.8, loose), ("fuzzy", 0.91, loose)]
+    return spark.createDataFrame([(n, t, mapping.should_auto_map(m, t), len(m.unmapped_schema)) for n, t, m in rows], "name string, threshold double, auto boolean, missing int")
+
+
+#: createdAt scores 0.9 (one missing character of ten) and Product Nam 0.916667.
+register("auto_map", auto_maps, "SELECT * FROM (VALUES ('aliases', 0.8::DOUBLE, true, 0), ('missing', 0.8, false, 3), ('fuzzy', 0.8, true, 0), ('fuzzy', 0.91, false, 0)) AS t(name, threshold, auto, missing)")
+
+
+def recounted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session's mapping after changes by hand: matches that are sure, need review, are open."""
+    session = ImportSession(spark, CATALOGUE, auto_map=False)
+    session.load_frame(spark.createDataFrame([("x",) * len(HEADERS)], ", ".join(f"`{h}` string" for h in HEADERS)))
+    rows = []
+    for step, edit in (("first", None), ("moved", (6, "stock")), ("cleared", (0, None))):
+        if edit:
+            session.update_mapping(*edit)
+        m = session.state.mapping
+        rows.append((step, m.auto_mapped, m.needs_review, m.unmapped, ",".join(m.unmapped_schema), ",".join(x.schema_column for x in m.matches)))
+    return spark.createDataFrame(rows, "step string, sure int, review int, open int, unmapped string, columns string")
+
+
+register("mapping_recount", recounted, """SELECT * FROM (VALUES ('first', 6, 0, 1, '', 'price,email,phone,created_at,name,stock,'), ('moved', 3, 3, 1, '', 'price,email,phone,created_at,name,,stock'),
+    ('cleared', 2, 3, 2, 'price', ',email,phone,created_at,name,,stock')) AS t(step, sure, review, open, unmapped, columns)""")

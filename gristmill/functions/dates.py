@@ -22,7 +22,12 @@ def days_in_month(month: Column, year: Column) -> Column:
 
 def fields(v: Column, fmt) -> tuple[Column, Column, Column]:
     """Day, month and year of a text that the format matches."""
-    return tuple(F.regexp_extract(v, fmt.regex, i).try_cast("int") if i else F.lit(None).cast("int") for i in (fmt.day, fmt.month, fmt.year))
+    return tuple(F.substring(v, at, n).try_cast("int") if at else F.lit(None).cast("int") for at, n in ((fmt.day, 2), (fmt.month, 2), (fmt.year, 4)))
+
+
+def has_format(v: Column, fmt) -> Column:
+    """Whether the whole text has the format: its fields have fixed widths, so digits turned into 0 give its shape."""
+    return v.rlike(fmt.regex) if fmt.regex else F.translate(v, "123456789", "0" * 9) == fmt.shape
 
 
 def fault(day: Column, month: Column, year: Column, year_code: int, month_code: int, day_code: int) -> Column:

@@ -22,7 +22,7 @@ def parse_date(v: Column, locale_id: str) -> Column:
     for fmt in reversed(date_formats(locale_id)):
         d, m, y = dates.fields(v, fmt)
         found = F.struct(d.alias("day"), m.alias("month"), y.alias("year"))
-        out = F.when(v.rlike(fmt.regex), F.when(dates.fault(d, m, y, 4, 2, 3) == 0, found)).otherwise(out)
+        out = F.when(dates.has_format(v, fmt), F.when(dates.fault(d, m, y, 4, 2, 3) == 0, found)).otherwise(out)
     return F.when(v != "", out)
 
 
@@ -30,7 +30,7 @@ def validate_date(v: Column, locale_id: str) -> Column:
     """0 valid (also empty), 1 format, 2 month, 3 day, 4 year."""
     out = F.lit(1)
     for fmt in reversed(date_formats(locale_id)):
-        out = F.when(v.rlike(fmt.regex), dates.fault(*dates.fields(v, fmt), 4, 2, 3)).otherwise(out)
+        out = F.when(dates.has_format(v, fmt), dates.fault(*dates.fields(v, fmt), 4, 2, 3)).otherwise(out)
     return F.when(v == "", 0).otherwise(out)
 
 

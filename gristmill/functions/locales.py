@@ -51,9 +51,13 @@ def locale_ids() -> list[str]:
 
 @dataclass(frozen=True)
 class DateFormat:
-    """A Java expression for the whole text, and the groups of day, month and year."""
+    """The shape of a whole text, digits as 0, with the places (from 1, 0 if absent) of day, month and year.
 
-    regex: str
+    Where a format itself has digits the shape can't tell; then ``regex``, a Java expression, does.
+    """
+
+    shape: str
+    regex: str | None
     day: int
     month: int
     year: int
@@ -61,14 +65,17 @@ class DateFormat:
 
 def date_format(text: str) -> DateFormat:
     """Only DD, MM and YYYY are fields; anything else stands for itself."""
-    places, parts = {}, []
+    places, shape, parts = {}, "", []
     for piece in re.split("(DD|MM|YYYY)", text):
         if piece in ("DD", "MM", "YYYY") and piece not in places:
-            places[piece] = len(places) + 1
-            parts.append(r"(\d{4})" if piece == "YYYY" else r"(\d{2})")
+            places[piece] = len(shape) + 1
+            shape += "0" * len(piece)
+            parts.append(rf"\d{{{len(piece)}}}")
         else:
+            shape += piece
             parts.append(re.escape(piece))
-    return DateFormat("^" + "".join(parts) + r"\z", places.get("DD", 0), places.get("MM", 0), places.get("YYYY", 0))
+    plain = not re.search("[0-9]", re.sub("DD|MM|YYYY", "", text))
+    return DateFormat(shape, None if plain else "^" + "".join(parts) + r"\z", places.get("DD", 0), places.get("MM", 0), places.get("YYYY", 0))
 
 
 def date_formats(locale_id: str) -> list[DateFormat]:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .script import SPACE, WIDE_SPACE, trimmed
+from .script import SPACE, WIDE_SPACE, let, trimmed
 
 _SPACES = "\t\n\v\f\r " + "".join(map(chr, WIDE_SPACE))
 
@@ -114,33 +114,46 @@ def tokenize_column(v: Column) -> Column:
     return F.filter(F.split(normalize_column(v), " "), lambda t: t != "")
 
 
-def token_similarity_column(a: Column, b: Column) -> Column:
+def _tokens_alike(x: Column, y: Column) -> Column:
+    """From two arrays of tokens."""
+
     def side(p: Column, q: Column) -> Column:
         best = F.transform(p, lambda s: F.array_max(F.transform(q, lambda t: levenshtein_similarity_column(s, t))))
         return F.aggregate(best, F.lit(0.0), lambda acc, x: acc + x) / F.size(p)
 
-    x, y = tokenize_column(a), tokenize_column(b)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise((side(x, y) + side(y, x)) / 2)
 
 
-def contains_match_column(a: Column, b: Column) -> Column:
-    x, y = normalize_column(a), normalize_column(b)
+def token_similarity_column(a: Column, b: Column) -> Column:
+    return let(F.struct(tokenize_column(a).alias("x"), tokenize_column(b).alias("y")), lambda p: _tokens_alike(p["x"], p["y"]))
+
+
+def _contained(x: Column, y: Column) -> Column:
     return (F.length(x) >= 3) & (F.length(y) >= 3) & (F.contains(x, y) | F.contains(y, x))
 
 
+def contains_match_column(a: Column, b: Column) -> Column:
+    return _contained(normalize_column(a), normalize_column(b))
+
+
 def common_prefix_length_column(a: Column, b: Column) -> Column:
     short = F.least(F.length(a), F.length(b))
     return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(0), short), lambda i: F.when(F.left(a, i) == F.left(b, i), i).otherwise(0))), F.lit(0))
 
 
 def similarity_column(header: Column, target: Column) -> Column:
-    h, t = normalize_column(header), normalize_column(target)
-    low, high = F.least(F.length(h), F.length(t)), F.greatest(F.length(h), F.length(t))
-    prefix = common_prefix_length_column(h, t)
-    best = F.greatest(
-        levenshtein_similarity_column(h, t),
-        F.when(contains_match_column(h, t), 0.7 + 0.2 * (low / high)).otherwise(0.0),
-        token_similarity_column(h, t),
-        F.when(prefix >= 3, 0.5 + 0.4 * (prefix / high)).otherwise(0.0),
-    )
-    return F.when(h == t, 1.0).otherwise(best)
+    """Both are normalised once; equal ones cost nothing else."""
+
+    def scores(h: Column, t: Column) -> Column:
+        low, high = F.least(F.length(h), F.length(t)), F.greatest(F.length(h), F.length(t))
+        split = lambda v: F.filter(F.split(v, " "), lambda x: x != "")
+        prefix = F.when(F.left(h, F.lit(3)) == F.left(t, F.lit(3)), common_prefix_length_column(h, t)).otherwise(0)
+        return F.greatest(
+            levenshtein_similarity_column(h, t),
+            F.when(_contained(h, t), 0.7 + 0.2 * (low / high)).otherwise(0.0),
+            let(F.struct(split(h).alias("x"), split(t).alias("y")), lambda p: _tokens_alike(p["x"], p["y"])),
+            F.when(prefix >= 3, 0.5 + 0.4 * (prefix / high)).otherwise(0.0),
+        )
+
+    both = F.struct(normalize_column(header).alias("h"), normalize_column(target).alias("t"))
+    return let(both, lambda p: F.when(p["h"] == p["t"], 1.0).otherwise(scores(p["h"], p["t"])))

@@ -44,7 +44,7 @@ def date_check(v: Column, locale_id: str) -> Check:
     """Every format that matches is checked; later formats after it too."""
     faults, matched = [], F.lit(False)
     for fmt in date_formats(locale_id):
-        hit, (d, m, y) = v.rlike(fmt.regex), dates.fields(v, fmt)
+        hit, (d, m, y) = dates.has_format(v, fmt), dates.fields(v, fmt)
         for bad, offset in ((~y.between(1900, 2100), 3), (~m.between(1, 12), 1), ((d < 1) | (d > dates.days_in_month(m, y)), 2)):
             faults.append((hit & bad, offset))
         matched = matched | hit

@@ -67,19 +67,33 @@ class Validation:
 
     def __init__(self, data: DataFrame, compiled: CompiledSchema, rows: bool = True):
         self.compiled = compiled
-        names = compiled.names
-        have = set(data.columns)
-        data = with_rows(data) if rows else data.withColumn(ROW, F.lit(0).cast("long")) if ROW not in have else data
-        cells = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")).alias(f"v{i}") if n in have else F.lit("").alias(f"v{i}") for i, n in enumerate(names)]
-        self.values = data.select(ROW, *cells)
+        self.data, self.rows = data, rows
         self.has_unique = any(c.unique for c in compiled.columns)
 
+    def _cells(self, data: DataFrame) -> DataFrame:
+        names, have = self.compiled.names, set(data.columns)
+        cells = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")).alias(f"v{i}") if n in have else F.lit("").alias(f"v{i}") for i, n in enumerate(names)]
+        return data.select(ROW, *cells)
+
+    @property
+    def _unnumbered(self) -> DataFrame:
+        """The data with row numbers only if it came with them: counts need none, nor the scan that numbers rows."""
+        return self.data if ROW in self.data.columns else self.data.withColumn(ROW, F.lit(0).cast("long"))
+
+    @cached_property
+    def values(self) -> DataFrame:
+        """_row and the cells v0 ..."""
+        return self._cells(with_rows(self.data) if self.rows else self._unnumbered)
+
     @cached_property
     def checked(self) -> DataFrame:
         """_row, the values v0 ..., the codes c0 ... (rules, then customs; repeated values are apart)."""
+        return self._checked(self.values)
+
+    def _checked(self, values: DataFrame) -> DataFrame:
         numbers = {i: F.col(f"n{i}") for i, c in enumerate(self.compiled.columns) if c.number}
-        out = self.values.select("*", *[self.compiled.columns[i].number(F.col(f"v{i}")).alias(f"n{i}") for i in numbers])
-        out = out.select(*self.values.columns, *[c.fn(F.col(f"v{i}"), numbers.get(i)).alias(f"c{i}") for i, c in enumerate(self.compiled.columns)])
+        out = values.select("*", *[self.compiled.columns[i].number(F.col(f"v{i}")).alias(f"n{i}") for i in numbers])
+        out = out.select(*values.columns, *[c.fn(F.col(f"v{i}"), numbers.get(i)).alias(f"c{i}") for i, c in enumerate(self.compiled.columns)])
         for i, c in enumerate(self.compiled.columns):
             code, v = F.col(f"c{i}"), F.col(f"v{i}")
             for k, rule in enumerate(c.customs):
@@ -102,8 +116,11 @@ class Validation:
                 code, v = F.col(f"c{i}"), F.col(f"v{i}")
                 cells.append(F.when((v != "") & ((code == 0) | (code >= CUSTOM_BASE)), F.struct(F.lit(i).alias("col"), v.alias("value"), code.alias("custom"))))
         if not cells:
-            return self.checked.sparkSession.createDataFrame([], "row long, col int, value string, custom smallint, clean boolean")
+            return self.data.sparkSession.createDataFrame([], "row long, col int, value string, custom smallint, clean boolean")
         long = self.checked.select(F.col(ROW).alias("row"), (~self.bad).alias("clean"), F.explode(F.array_compact(F.array(*cells))).alias("x")).select("row", "x.*", "clean")
+        # values travel only if the hash of theirs occurs again; the hash proposes, the value decides
+        twice = long.groupBy("col", F.xxhash64("value").alias("hash")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("col").alias("_col"), F.col("hash").alias("_hash"))
+        long = long.join(twice, (F.col("col") == F.col("_col")) & (F.xxhash64("value") == F.col("_hash")), "left_semi")
         seen = long.groupBy("col", "value").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         return long.join(seen, ["col", "value"]).where("row > first").select("row", "col", "value", "custom", "clean")
 
@@ -120,7 +137,7 @@ class Validation:
                 public = F.when(code == internal, F.lit(public_code(c, internal))).otherwise(public)
             structs.append(F.when(code > 0, F.struct(F.lit(i).alias("col"), F.lit(c.name).alias("field"), F.col(f"v{i}").alias("value"), public.alias("code"), message.alias("message"))))
         if not structs:
-            return self.checked.sparkSession.createDataFrame([], ERRORS)
+            return self.data.sparkSession.createDataFrame([], ERRORS)
         own = self.checked.select(F.col(ROW).alias("row"), F.explode(F.when(self.bad, F.array_compact(F.array(*structs)))).alias("e")).select("row", "e.*")
         if not self.has_unique:
             return own
@@ -145,19 +162,37 @@ class Validation:
         """One row: rows, error rows, and the count of each (column, internal code).
 
         Rows are first counted by their combination of codes, of which there are
-        few; the sums are taken over those.
+        few, packed into one number (or several, if there are many columns); the
+        sums are taken over those.
         """
-        codes = [f"c{i}" for i in range(self.compiled.count)]
-        kinds = self.checked.groupBy(*codes).agg(F.count(F.lit(1)).alias("n"))
+        known = [[*c.errors, *range(CUSTOM_BASE, CUSTOM_BASE + len(c.customs))] for c in self.compiled.columns]
+        packs: list[Column] = []
+        place: list[tuple[int, int, int]] = []  # of each column: its number, what it is multiplied by, how many codes it has
+        size = 1 << 63
+        for i, c in enumerate(self.compiled.columns):
+            n, code = len(known[i]) + 1, F.col(f"c{i}").cast("long")
+            if c.customs:  # customs follow the other codes at once
+                code = F.when(code >= CUSTOM_BASE, code - (CUSTOM_BASE - 1 - len(c.errors))).otherwise(code)
+            if size * n >= 1 << 62:
+                size = 1
+                packs.append(F.lit(0).cast("long"))
+            place.append((len(packs) - 1, size, n))
+            packs[-1] = packs[-1] + code * F.lit(size).cast("long")
+            size *= n
+        kinds = self._checked(self._cells(self._unnumbered)).select(*[x.alias(f"k{i}") for i, x in enumerate(packs)]).groupBy(*[f"k{i}" for i in range(len(packs))]).agg(F.count(F.lit(1)).alias("n"))
         total = lambda x: F.coalesce(F.sum(x), F.lit(0))
-        sums = [total(F.when(F.col(f"c{i}") == k, F.col("n"))).alias(f"n{i}_{k}") for i, c in enumerate(self.compiled.columns) for k in [*c.errors, *range(CUSTOM_BASE, CUSTOM_BASE + len(c.customs))]]
-        return kinds.agg(total(F.col("n")).alias("rows"), total(F.when(self.bad, F.col("n"))).alias("bad"), *sums)
+        own = lambda i: F.expr(f"(k{place[i][0]} div {place[i][1]}L) % {place[i][2]}L")
+        sums = [total(F.when(own(i) == at, F.col("n"))).alias(f"n{i}_{k}") for i, codes in enumerate(known) for at, k in enumerate(codes, 1)]
+        bad = F.lit(False)
+        for i in range(len(packs)):
+            bad = bad | (F.col(f"k{i}") != 0)
+        return kinds.agg(total(F.col("n")).alias("rows"), total(F.when(bad, F.col("n"))).alias("bad"), *sums)
 
     def counts(self) -> DataFrame:
         """errors by (field, rule): field, rule, n; a cell that fails custom and repeats counts under both."""
         pairs = [F.struct(F.lit(c.name).alias("field"), F.lit(c.errors[k][0] if k in c.errors else "custom").alias("rule"), F.col(f"n{i}_{k}").alias("n"))
                  for i, c in enumerate(self.compiled.columns) for k in [*c.errors, *range(CUSTOM_BASE, CUSTOM_BASE + len(c.customs))]]
-        spark = self.checked.sparkSession
+        spark = self.data.sparkSession
         out = self._counts().select(F.explode(F.array(*pairs)).alias("x")).select("x.*") if pairs else spark.createDataFrame([], "field string, rule string, n long")
         if self.has_unique:
             names = F.array(*[F.lit(n) for n in self.compiled.names])
@@ -205,7 +240,7 @@ class Validation:
 
     def memory_usage(self) -> int:
         """Bytes that a bitmap and a byte map of the same table take."""
-        n = self.values.count()
+        n = self.data.count()
         return bitmap_bytes(n, self.compiled.count) + code_map_bytes(n, self.compiled.count)
 
     def summary(self) -> dict:

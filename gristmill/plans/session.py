@@ -309,7 +309,6 @@ class ImportSession:
 
 def parse_and_validate(spark: SparkSession, path: str, schema: Schema, options: delimited.Options = delimited.Options(), max_rows: int | None = None) -> Validation:
     """Columns by position, without mapping: the first column is the schema's first."""
-    df = with_rows(delimited.read_native(spark, path, options))
-    columns = [c for c in df.columns if c != ROW]
-    named = df.select(ROW, *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, schema.names, strict=False)])
-    return Validator(schema).validate(delimited.first_rows(named, max_rows) if max_rows is not None else named)
+    df = delimited.read_native(spark, path, options)
+    named = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, schema.names, strict=False)])
+    return Validator(schema).validate(delimited.first_rows(with_rows(named), max_rows) if max_rows is not None else named)

@@ -1,7 +1,9 @@
 """Delimited text: a native reader for large files and a compatible one for odd files.
 
-``read_native`` uses Spark's CSV reader: splittable, RFC 4180, short rows
-padded, long rows cut, blank lines dropped. ``read_compatible`` applies exact
+``read_native`` uses Spark's CSV reader: RFC 4180, short rows padded, long rows
+cut, blank lines dropped. Files split into tasks of any number unless a quoted
+field holds a line break; a scan for lines with an odd number of quotes tells.
+``read_compatible`` applies exact
 rules to each file as a whole (one task a file): two scanners, chosen by
 whether the quote character occurs at all, which treat ragged and blank lines
 differently.
@@ -27,6 +29,8 @@ class Options:
     quote: str = '"'
     header: bool = True
     skip_empty_lines: bool = False
+    #: Whether quoted fields may hold line breaks, for the native reader; None lets it look.
+    multiline: bool | None = None
 
 
 @dataclass
@@ -209,14 +213,26 @@ def _first_line(spark: SparkSession, path: str) -> str:
     return got[0].value if got else ""
 
 
+def has_open_lines(spark: SparkSession, path: str, quote: str = '"') -> bool:
+    """Whether some line has an odd number of quotes, without which no quoted field goes on in the next line."""
+    return not spark.read.text(path).where((F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))) % 2 == 1).isEmpty()
+
+
 def read_native(spark: SparkSession, path: str, options: Options = Options(), headers: Sequence[str] | None = None) -> DataFrame:
-    """String columns named by the header, nulls as empty; blank lines and rows of empty fields as Spark reads them."""
-    spec = detect_schema(_first_line(spark, path), options)
-    names = list(headers) if headers is not None else _header_fields(_first_line(spark, path), spec) if options.header else []
+    """String columns named by the header, nulls as empty; blank lines go, rows of empty fields stay.
+
+    Without quoted line breaks (``options.multiline``; by default the files are
+    looked through once, in parallel) they are read in splits, and lines of
+    white space alone count as blank. With them each file is one task.
+    """
+    line = _first_line(spark, path)
+    spec = detect_schema(line, options)
+    names = list(headers) if headers is not None else _header_fields(_without_cr(line), spec) if options.header else []
     names += [""] * (spec.field_count - len(names))
     columns = unique_names(names)
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
-    df = spark.read.csv(path, schema=schema, sep=options.delimiter, quote=options.quote, escape=options.quote, header=options.header, multiLine=True, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    lines = has_open_lines(spark, path, options.quote) if options.multiline is None else options.multiline
+    df = spark.read.csv(path, schema=schema, sep=options.delimiter, quote=options.quote, escape=options.quote, header=options.header, multiLine=lines, enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     df = df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
     return skip_empty(df) if options.skip_empty_lines else df
 
@@ -228,7 +244,12 @@ def skip_empty(df: DataFrame) -> DataFrame:
 
 
 def read_compatible(spark: SparkSession, path: str, options: Options = Options()) -> DataFrame:
-    """file, _row (within the file), headers, fields (as many as the row has)."""
+    """file, _row (within the file), headers, fields (as many as the row has).
+
+    A file is one task and one value, so a file of 2 GB or more raises an error.
+    """
+    for size, name in spark.read.format("binaryFile").load(path).select("length", "path").where(F.col("length") >= 1 << 31).limit(1).collect():
+        raise ValueError(f"{name} has {size} bytes; read files of 2 GB or more with read_native")
 
     def run(batches):
         import pandas as pd

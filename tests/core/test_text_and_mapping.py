@@ -1,9 +1,11 @@
 """Readers, header mapping and the import session."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import gristmill as g
 from gristmill.plans import session as ses
+from gristmill.sources import delimited
 from gristmill.sources.delimited import Options, columns_of, detect_schema, read_compatible, read_native, to_text
 
 
@@ -96,3 +98,29 @@ def test_session(spark, tmp_path):
     assert g.ImportSession(spark, schema, max_rows=1).load_file(str(tmp_path / "f.csv")).row_count == 1
     assert g.parse_and_validate(spark, str(tmp_path / "f.csv"), schema).stats().first().total_rows == 2
     assert s.cancel().step == "idle"
+
+
+def test_native_reader_splits_unless_a_quoted_field_goes_on(spark, tmp_path):
+    """Partitions grow with the file; a quoted line break is seen and keeps the file whole."""
+    plain, odd = tmp_path / "plain.csv", tmp_path / "odd.csv"
+    lines = [f'{i},"name, ""{i}""",x' for i in range(60_000)]
+    plain.write_text("\n".join(["a,b,c", *lines]))
+    odd.write_text("\n".join(["a,b,c", *lines, '60000,"two\nlines",y']))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        whole, cut = delimited.read_native(spark, str(odd)), delimited.read_native(spark, str(plain))
+        assert whole.rdd.getNumPartitions() == 1 and cut.rdd.getNumPartitions() >= 8
+        assert not delimited.has_open_lines(spark, str(plain)) and delimited.has_open_lines(spark, str(odd))
+        assert cut.count() == 60_000 and cut.agg(F.sum(F.col("a").cast("long")), F.count_distinct("b")).first() == (sum(range(60_000)), 60_000)
+        assert whole.where("a = '60000'").first().b == "two\nlines"
+        assert delimited.read_native(spark, str(plain), delimited.Options(multiline=True)).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_windows_line_ends_and_headers(spark, tmp_path):
+    path = tmp_path / "crlf.csv"
+    path.write_bytes(b'id,"the name"\r\n1,a\r\n\r\n2,"b"\r\n')
+    got = delimited.read_native(spark, str(path))
+    assert got.columns == ["id", "the name"] and sorted(map(tuple, got.collect())) == [("1", "a"), ("2", "b")]

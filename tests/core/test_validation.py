@@ -100,3 +100,25 @@ def test_stream(spark, tmp_path):
     q = validate_stream(stream, g.Schema({"n": g.ColumnDef("number")})).writeStream.format("memory").queryName("checked").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert sorted((r.n, r._codes) for r in spark.table("checked").collect()) == [("1", [0]), ("x", [1])]
+
+
+def test_counts_of_a_schema_too_wide_for_one_number(spark):
+    """Codes are packed into several numbers; customs follow the other codes."""
+    columns = {f"c{i}": g.ColumnDef("number", [g.required(), g.minimum(0), g.maximum(9), g.custom(lambda v: v != "5", "Five", native=True)]) for i in range(40)}
+    rows = [tuple(str((i * 7 + k) % 14 - 2) if (i + k) % 11 else "" for k in range(40)) for i in range(200)]
+    got = {(r.field, r.rule): r.n for r in g.Validator(g.Schema(columns)).validate(spark.createDataFrame(rows, list(columns))).counts().collect()}
+    want = {}
+    for row in rows:
+        for k, v in enumerate(row):
+            rule = "required" if v == "" else "min" if int(v) < 0 else "max" if int(v) > 9 else "custom" if v == "5" else None
+            if rule:
+                want[f"c{k}", rule] = want.get((f"c{k}", rule), 0) + 1
+    assert got == want
+
+
+def test_repeated_values_whose_hashes_meet(spark, monkeypatch):
+    """The hash only proposes: values of one hash but different text are no duplicates."""
+    rows = [(i, v) for i, v in enumerate(["a", "b", "a", "", "", "c", "b", "a"])]
+    monkeypatch.setattr(F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    found = g.Validator(g.Schema({"v": g.ColumnDef("string", [g.unique()])})).validate(spark.createDataFrame(rows, "_row long, v string")).errors.collect()
+    assert sorted(r.row for r in found) == [2, 6, 7]
