@@ -17,6 +17,7 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ EMBEDDING, HIDDEN, VOCABULARY = 16, 16, 1024
 HEAD = 1 << 17
 #: Training: rounds (each text is in one of them), lanes, steps of a window, tokens laid out at once, tokens a task should have at least.
 ROUNDS, LANES, WINDOW, TRAIN_TOKENS, SHARD_TOKENS = 2, 128, 32, 1 << 19, 1 << 20
+#: Steps that the tokens laid out at once should give.
+STEPS = 64
 #: Blocks in which weights travel, and parts in which a block is summed first.
-BLOCKS, PARTS = 16, 32
+BLOCKS, PARTS = 16, 8
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 256, 64, 1 << 20
 
 
@@ -84,7 +87,11 @@ def head_threshold(counts: DataFrame, head: int) -> int:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -123,28 +130,34 @@ class GatedModel:
         return np.concatenate([x.ravel() for x in self.p.values()])
 
     def with_weights(self, flat: np.ndarray) -> None:
-        at = 0
+        """Take the weights from one array, as views of it."""
+        flat, at = np.ascontiguousarray(flat, np.float32), 0
         for k, x in self.p.items():
-            self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+            self.p[k] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
     def steps(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each step of (steps, lanes) inputs; a fresh lane starts from zero."""
+        """States after each step of (steps, lanes) inputs; a fresh lane starts from zero. Inside, lanes are the last axis."""
         p, n = self.p, self.hidden
-        x = p["embed"][inputs] @ p["wx"] + p["b"]
-        states = np.empty((*inputs.shape, n), np.float32)
+        x = np.ascontiguousarray((p["embed"][inputs] @ p["wx"] + p["b"]).transpose(0, 2, 1))
+        turned, h, states = np.ascontiguousarray(p["wh"].T), np.ascontiguousarray(h.T), np.empty((len(inputs), n, inputs.shape[1]), p["wx"].dtype)
+        starts = fresh.any(axis=1).tolist()
         for t in range(len(inputs)):
-            if fresh[t].any():
-                h = h * ~fresh[t][:, None]
-            s = h @ p["wh"]
-            zr = sigmoid(x[t, :, : 2 * n] + s[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(x[t, :, 2 * n :] + r * s[:, 2 * n :])
+            if starts[t]:
+                h = h * ~fresh[t]
+            s = turned @ h
+            zr, c = x[t, : 2 * n], x[t, 2 * n :]
+            zr += s[: 2 * n]
+            z, r = sigmoid(zr)[:n], zr[n:]
+            c += r * s[2 * n :]
+            np.tanh(c, out=c)
             if keep is not None:
-                keep.append((h, z, r, c, s[:, 2 * n :]))
-            h = c + z * (h - c)
+                keep.append((h, z, r, c, s[2 * n :]))
+            h = h - c
+            h *= z
+            h += c
             states[t] = h
-        return states, h
+        return np.ascontiguousarray(states.transpose(0, 2, 1)), h.T
 
     def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order that puts targets of one class side by side, their classes, and where each class starts."""
@@ -201,23 +214,32 @@ class GatedModel:
                 back[a:b] += d @ p["word_w"][low:high]
         unsorted = np.empty_like(back)
         unsorted[order] = back
-        back = unsorted.reshape(states.shape)
-        dh, dx, recurrent = np.zeros_like(h), np.empty((*inputs.shape, 3 * n), p["wx"].dtype), np.empty((*inputs.shape, 3 * n), p["wx"].dtype)
+        back = np.ascontiguousarray(unsorted.reshape(states.shape).transpose(0, 2, 1))
+        dx = np.empty((len(inputs), 3 * n, inputs.shape[1]), p["wx"].dtype)
+        recurrent, dh, wh, starts = np.empty_like(dx), np.zeros_like(back[0]), p["wh"], fresh.any(axis=1).tolist()
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, c, s = keep[t]
             dh += back[t]
-            dz = dh * (before - c) * z * (1 - z)
-            dc = dh * (1 - z) * (1 - c * c)
             x, y = dx[t], recurrent[t]
-            x[:, :n] = y[:, :n] = dz
-            x[:, n : 2 * n] = y[:, n : 2 * n] = dc * s * r * (1 - r)
-            x[:, 2 * n :] = dc
-            y[:, 2 * n :] = dc * r
-            dh = dh * z + y @ p["wh"].T
-            if fresh[t].any():
-                dh *= ~fresh[t][:, None]
-        g["wh"] = np.concatenate([k[0] for k in keep]).T @ recurrent.reshape(-1, 3 * n)
-        flat_dx = dx.reshape(-1, 3 * n)
+            dz, dr, dc = x[:n], x[n : 2 * n], x[2 * n :]
+            np.subtract(before, c, out=dz)
+            dz *= dh
+            dz *= z
+            dz *= 1 - z
+            np.multiply(dh, 1 - z, out=dc)
+            dc *= 1 - c * c
+            np.multiply(dc, s, out=dr)
+            dr *= r
+            dr *= 1 - r
+            y[: 2 * n] = x[: 2 * n]
+            np.multiply(dc, r, out=y[2 * n :])
+            dh *= z
+            dh += wh @ y
+            if starts[t]:
+                dh *= ~fresh[t]
+        flat_of = lambda a: a.transpose(0, 2, 1).reshape(-1, a.shape[1])
+        g["wh"] = flat_of(np.stack([k[0] for k in keep])).T @ flat_of(recurrent)
+        flat_dx = flat_of(dx)
         g["wx"], g["b"] = p["embed"][inputs].reshape(-1, p["embed"].shape[1]).T @ flat_dx, flat_dx.sum(axis=0)
         rows = inputs.ravel()
         order = np.argsort(rows, kind="stable")
@@ -232,8 +254,10 @@ class GatedModel:
             state |= {"step": 0, "first": np.zeros(sum(x.size for x in self.p.values()), np.float32), "second": np.zeros(sum(x.size for x in self.p.values()), np.float32)}
         total, n = 0.0, 0
         flat = self.weights()
+        self.with_weights(flat)
+        # few tokens go in few lanes, so that there are some dozens of steps
+        lanes = max(1, min(lanes, len(texts), max(8, sum(map(len, texts)) // (window * STEPS))))
         for inputs, targets, fresh, real, _, h in windows(texts, self.v + 1, lanes, window, self.hidden):
-            self.with_weights(flat)
             g, h[:], loss = self.gradients(inputs, targets, fresh, real, h)
             g = np.concatenate([g[k].ravel() for k in self.p])
             state["step"] += 1
@@ -244,7 +268,6 @@ class GatedModel:
             pace = rate * real.sum() / (lanes * window) * math.sqrt(1 - 0.999 ** state["step"]) / (1 - 0.9 ** state["step"])
             flat -= (pace * state["first"] / (np.sqrt(state["second"]) + 1e-8)).astype(np.float32)
             total, n = total + loss * int(real.sum()), n + int(real.sum())
-        self.with_weights(flat)
         return total / max(1, n)
 
     def score(self, texts: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
@@ -309,7 +332,8 @@ def fitted(train: DataFrame, model: GatedModel, words: list[bytes], tokens: int,
             number, state, held, size, n = {w: i for i, w in enumerate(words)}, {}, [], 0, 0
             for b in batches:
                 for t in texts_of(b):
-                    held.append(np.array([number.get(w, net.v) for w in tokens_of(t)], np.int64))
+                    tokens = tokens_of(t)
+                    held.append(np.fromiter(map(number.get, tokens, repeat(net.v)), np.int64, len(tokens)))
                     size += len(held[-1])
                     if size >= TRAIN_TOKENS:
                         net.fit(held, rate=rate, state=state)
@@ -404,7 +428,7 @@ def language_model_scores(docs: DataFrame, held_out: Column | None = None, head:
         for b in batches:
             for i, h, t in zip(b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), texts_of(b), strict=True):
                 tokens = tokens_of(t)
-                x = np.array([number.get(w, -1) for w in tokens], np.int64)
+                x = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
                 miss = np.flatnonzero(x < 0)
                 rare.append(Counter([tokens[k] for k in miss.tolist()]))
                 x[miss] = len(words)
