@@ -21,6 +21,8 @@ from .common import written
 #: Ids in a block of the index, so that a posting list is bounded.
 BLOCK_IDS = 4096
 ALTERNATIVES, CLASS_MEMBERS = 256, 8
+#: Matches whose lengths are summed as a block.
+MATCHES = 64
 CUT = "\0"
 
 
@@ -134,16 +136,33 @@ def spans_of(rule: Rule, order: int, text: Column) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group))
     gaps = F.split(text, rule.pattern, -1)
-    parts = F.arrays_zip(F.transform(found, lambda x: F.length(x)).alias("n"), F.transform(value, lambda x: F.length(x)).alias("v"), F.slice(F.transform(gaps, lambda x: F.length(x)), F.lit(1), F.size(found)).alias("gap"))
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    n, gap = F.transform(found, lambda x: F.length(x)), F.slice(F.transform(gaps, lambda x: F.length(x)), F.lit(1), F.size(found))
+    parts = F.arrays_zip(n.alias("n"), F.transform(value, lambda x: F.length(x)).alias("v"), F.zip_with(n, gap, lambda x, y: x + y).alias("step"))
+    kind = "array<struct<start:int,order:int,end:int,kind:string>>"
+
+    def total(steps: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda x, y: x + y)
+
+    # running sums in blocks, so that a text with very many matches costs a block a match, not all before it
+    def placed(p: Column) -> Column:
+        steps = F.transform(p, lambda x: x["step"])
+        blocks = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / MATCHES).cast("int"))
+        sums = F.transform(blocks, lambda b: total(F.slice(steps, b * MATCHES + 1, F.lit(MATCHES))))
+        ahead = F.transform(blocks, lambda b: total(F.slice(sums, F.lit(1), b)))
+        return let(F.struct(p.alias("p"), steps.alias("steps"), ahead.alias("ahead")), lambda x: F.transform(x["p"], lambda m, i: ended(x, m, i)))
+
+    def ended(x: Column, m: Column, i: Column) -> Column:
+        block = F.floor(i / MATCHES).cast("int")
+        end = F.element_at(x["ahead"], block + 1) + total(F.slice(x["steps"], block * MATCHES + 1, i % MATCHES + 1))
+        return F.struct((end - m["n"]).alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"), m["v"].alias("v"))
+
+    spans = F.filter(F.when(F.size(parts) > 0, let(parts, placed)), lambda x: x["v"] >= rule.least)
+    return F.coalesce(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["order"].alias("order"), x["end"].alias("end"), x["kind"].alias("kind"))).cast(kind), F.array().cast(kind))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("order"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(x["v"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def written_spans(spans: Column) -> Column:

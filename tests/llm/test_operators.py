@@ -161,6 +161,16 @@ def test_secret_scan_adds_spans_and_drops_failing_matches(spark):
     assert got == ["", "assign:3:18,github:20:64", "access:0:22", "", "pem:0:31"]
 
 
+def test_secret_scan_of_many_matches(spark):
+    """Hundreds of matches in one text, some of them failing: every place is right."""
+    r = np.random.default_rng(2)
+    words = ["".join("0123456789abcdef"[x] for x in r.integers(0, 16, n)) for n in r.integers(20, 40, 700)]
+    text = "é ".join(f"key {w}" for w in words)
+    want = [f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{24,}", text)]
+    got = secret_scan(spark.createDataFrame([(1, text), (2, text[:90])], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0].spans == ",".join(want) and got[0].n_hex == len(want) > 300
+
+
 def test_chat_format(spark):
     say = lambda c, *turns: [(c, i, "user" if i % 2 == 0 else "assistant", t, "x") for i, t in enumerate(turns)]
     rows = say(1, "a", "b") + say(2, "a", "b", "c") + say(3, "a", "b", "c") + say(4, "a", "x") + say(5, *[f"t{i}" for i in range(600)]) + say(6, *[f"t{i}" for i in range(300)]) + [(7, 0, None, None, "x"), (8, 0, "", "", "x"), (None, 0, "user", "a", "x")]
