@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.mapping import ALIAS, EXACT, FUZZY, NONE, Mapping, Match, apply_mapping, map_columns, should_auto_map
@@ -212,7 +212,7 @@ class ImportSession:
             if self.max_rows is not None:
                 df = delimited.first_rows(df, self.max_rows)
             n = df.count()
-            preview = df.orderBy(ROW).drop(ROW).limit(self.max_preview_rows).collect()
+            preview = self._preview(df, min(n, self.max_preview_rows))
         except Exception as e:
             return self._fail("PARSE_ERROR", e)
         finally:
@@ -225,6 +225,15 @@ class ImportSession:
             self._validate()
         return self.state
 
+    @staticmethod
+    def _preview(df: DataFrame, n: int) -> list[Row]:
+        """The first rows. Numbers from 0 in file order let it stop after the first partitions; others take a sort."""
+        names = [c for c in df.columns if c != ROW]
+        rows = df.where(F.col(ROW) < n).take(n)
+        if len(rows) < n:
+            rows = df.orderBy(ROW).limit(n).collect()
+        return [Row(**{c: r[c] for c in names}) for r in sorted(rows, key=lambda r: r[ROW])]
+
     def _mapped(self, mapping: Mapping) -> DataFrame:
         raw = self.state.raw
         return apply_mapping(raw, mapping.matches, self.schema, [c for c in raw.columns if c != ROW], [ROW])

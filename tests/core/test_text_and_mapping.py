@@ -1,6 +1,9 @@
 """Readers, header mapping and the import session."""
 
+import time
+
 import pytest
+from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 import gristmill as g
@@ -124,3 +127,26 @@ def test_windows_line_ends_and_headers(spark, tmp_path):
     path.write_bytes(b'id,"the name"\r\n1,a\r\n\r\n2,"b"\r\n')
     got = delimited.read_native(spark, str(path))
     assert got.columns == ["id", "the name"] and sorted(map(tuple, got.collect())) == [("1", "a"), ("2", "b")]
+
+
+def test_cancel_interrupts_a_running_import(spark):
+    """Called from another thread while rows are read; the session starts over."""
+    slow = F.pandas_udf("string")(lambda v: (time.sleep(30), v)[1])
+    df = spark.range(8).repartition(4).select(F.col("id").alias("_row"), slow(F.col("id").cast("string")).alias("name"))
+    session = g.ImportSession(spark, g.Schema({"name": g.ColumnDef("string")}))
+    worker = InheritableThread(target=session.load_frame, args=(df.where("name <> 'x'"),))
+    began = time.monotonic()
+    worker.start()
+    while not spark.sparkContext.statusTracker().getActiveJobsIds() and time.monotonic() - began < 20:
+        time.sleep(0.2)
+    session.cancel()
+    worker.join(25)
+    assert not worker.is_alive() and session.state.step == ses.IDLE and time.monotonic() - began < 30
+
+
+def test_preview_keeps_the_order_of_rows(spark):
+    session = g.ImportSession(spark, g.Schema({"name": g.ColumnDef("string")}), max_preview_rows=3)
+    session.load_frame(spark.createDataFrame([(i, f"n{i}") for i in (40, 10, 30, 20)], "_row long, name string"))
+    assert [r.name for r in session.state.preview] == ["n10", "n20", "n30"]
+    session.load_frame(spark.createDataFrame([(f"n{i}",) for i in range(9)], "name string").coalesce(1))
+    assert [tuple(r) for r in session.state.preview] == [("n0",), ("n1",), ("n2",)]
