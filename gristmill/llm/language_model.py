@@ -36,9 +36,11 @@ HEAD = 1 << 17
 ROUNDS, LANES, WINDOW, TRAIN_TOKENS, SHARD_TOKENS = 2, 128, 32, 1 << 19, 1 << 20
 #: Steps that the tokens laid out at once should give.
 STEPS = 64
+#: Windows that are laid out together.
+WINDOWS = 16
 #: Blocks in which weights travel, and parts in which a block is summed first.
 BLOCKS, PARTS = 16, 8
-SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 256, 64, 1 << 20
+SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 128, 64, 1 << 20
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -94,9 +96,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def log_total(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exponentials of each column."""
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
 
 
 def class_bounds(v: int) -> list[int]:
@@ -136,12 +139,13 @@ class GatedModel:
             self.p[k] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
+    # Arrays have units first and lanes (or tokens) last, so that each operation runs along many tokens.
+
     def steps(self, inputs: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each step of (steps, lanes) inputs; a fresh lane starts from zero. Inside, lanes are the last axis."""
+        """States (units, steps, lanes) after each of the inputs (steps, lanes), and the last; a fresh lane starts from zero."""
         p, n = self.p, self.hidden
-        x = np.ascontiguousarray((p["embed"][inputs] @ p["wx"] + p["b"]).transpose(0, 2, 1))
-        turned, h, states = np.ascontiguousarray(p["wh"].T), np.ascontiguousarray(h.T), np.empty((len(inputs), n, inputs.shape[1]), p["wx"].dtype)
-        starts = fresh.any(axis=1).tolist()
+        x = np.ascontiguousarray(np.take((p["embed"] @ p["wx"] + p["b"]).T, inputs, axis=1).transpose(1, 0, 2))
+        turned, states, starts = np.ascontiguousarray(p["wh"].T), np.empty((len(inputs), n, inputs.shape[1]), p["wx"].dtype), fresh.any(axis=1).tolist()
         for t in range(len(inputs)):
             if starts[t]:
                 h = h * ~fresh[t]
@@ -157,7 +161,7 @@ class GatedModel:
             h *= z
             h += c
             states[t] = h
-        return np.ascontiguousarray(states.transpose(0, 2, 1)), h.T
+        return np.ascontiguousarray(states.transpose(1, 0, 2)), h
 
     def _by_class(self, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order that puts targets of one class side by side, their classes, and where each class starts."""
@@ -167,84 +171,87 @@ class GatedModel:
         return order, kind, np.searchsorted(kind, np.arange(self.classes + 1))
 
     def log_probs(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target; of v, that of the class of words beyond."""
+        """Natural log probability of each target, from states (units, tokens); of v, that of the class of words beyond."""
         order, kind, edge = self._by_class(targets)
-        states, targets = states[order], targets[order]
-        got = log_softmax(states @ self.p["class_w"] + self.p["class_b"])[np.arange(len(kind)), kind]
+        states, targets = states[:, order], targets[order]
+        x = self.p["class_w"].T @ states + self.p["class_b"][:, None]
+        got = x[kind, np.arange(len(kind))] - log_total(x)
         for k in range(self.classes):
             a, b = edge[k], edge[k + 1]
             if a < b:
                 low, high = self.bounds[k], self.bounds[k + 1]
-                words = log_softmax(states[a:b] @ self.p["word_w"][low:high].T + self.p["word_b"][low:high])
-                got[a:b] += words[np.arange(b - a), targets[a:b] - low]
+                x = self.p["word_w"][low:high] @ states[:, a:b] + self.p["word_b"][low:high, None]
+                got[a:b] += x[targets[a:b] - low, np.arange(b - a)] - log_total(x)
         out = np.empty(len(order))
         out[order] = got
         return out
 
     def gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Backpropagation through one window; the state it starts from is taken as given."""
+        """Backpropagation through one window; the state (units, lanes) it starts from is taken as given."""
         p, n, keep = self.p, self.hidden, []
         states, last = self.steps(inputs, fresh, h, keep)
         order, kind, edge = self._by_class(targets.ravel())
-        flat, want, w = states.reshape(-1, n)[order], targets.ravel()[order], real.ravel()[order].astype(p["wx"].dtype)
+        flat, want, w = states.reshape(n, -1)[:, order], targets.ravel()[order], real.ravel()[order].astype(p["wx"].dtype)
         w /= max(1.0, w.sum())
         g = {k: np.zeros_like(x) for k, x in p.items()}
 
         def softmax(x: np.ndarray, own: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
             """The gradient at the logits, and the loss."""
-            x -= x.max(axis=1, keepdims=True)
-            at = np.arange(len(x))
-            picked = x[at, own]
+            x -= x.max(axis=0)
+            at = np.arange(x.shape[1])
+            picked = x[own, at]
             np.exp(x, out=x)
-            total = x.sum(axis=1, keepdims=True)
-            x *= (weight / total[:, 0])[:, None]
-            x[at, own] -= weight
-            return x, float(((np.log(total[:, 0]) - picked) * weight).sum())
-
-        d, loss = softmax(flat @ p["class_w"] + p["class_b"], kind, w)
-        g["class_w"], g["class_b"] = flat.T @ d, d.sum(axis=0)
-        back = d @ p["class_w"].T
+            total = x.sum(axis=0)
+            x *= weight / total
+            x[own, at] -= weight
+            return x, float(((np.log(total) - picked) * weight).sum())
+
+        d, loss = softmax(p["class_w"].T @ flat + p["class_b"][:, None], kind, w)
+        g["class_w"], g["class_b"] = flat @ d.T, d.sum(axis=1)
+        back = p["class_w"] @ d
         for k in range(self.classes):
             a, b = edge[k], edge[k + 1]
             if a < b:
                 low, high = self.bounds[k], self.bounds[k + 1]
-                d, more = softmax(flat[a:b] @ p["word_w"][low:high].T + p["word_b"][low:high], want[a:b] - low, w[a:b])
+                d, more = softmax(p["word_w"][low:high] @ flat[:, a:b] + p["word_b"][low:high, None], want[a:b] - low, w[a:b])
                 loss += more
-                g["word_w"][low:high], g["word_b"][low:high] = d.T @ flat[a:b], d.sum(axis=0)
-                back[a:b] += d @ p["word_w"][low:high]
+                g["word_w"][low:high], g["word_b"][low:high] = d @ flat[:, a:b].T, d.sum(axis=1)
+                back[:, a:b] += p["word_w"][low:high].T @ d
         unsorted = np.empty_like(back)
-        unsorted[order] = back
-        back = np.ascontiguousarray(unsorted.reshape(states.shape).transpose(0, 2, 1))
+        unsorted[:, order] = back
+        back = np.ascontiguousarray(unsorted.reshape(states.shape).transpose(1, 0, 2))
         dx = np.empty((len(inputs), 3 * n, inputs.shape[1]), p["wx"].dtype)
-        recurrent, dh, wh, starts = np.empty_like(dx), np.zeros_like(back[0]), p["wh"], fresh.any(axis=1).tolist()
+        y, dh, wh, starts = np.empty_like(dx[0]), np.zeros_like(h), p["wh"], fresh.any(axis=1).tolist()
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, c, s = keep[t]
             dh += back[t]
-            x, y = dx[t], recurrent[t]
+            x = dx[t]
             dz, dr, dc = x[:n], x[n : 2 * n], x[2 * n :]
             np.subtract(before, c, out=dz)
             dz *= dh
             dz *= z
-            dz *= 1 - z
-            np.multiply(dh, 1 - z, out=dc)
-            dc *= 1 - c * c
+            np.subtract(1, z, out=z)
+            dz *= z
+            np.multiply(dh, z, out=dc)
+            dh -= dc  # dh times z
+            np.multiply(c, c, out=c)
+            dc *= np.subtract(1, c, out=c)
             np.multiply(dc, s, out=dr)
             dr *= r
             dr *= 1 - r
             y[: 2 * n] = x[: 2 * n]
             np.multiply(dc, r, out=y[2 * n :])
-            dh *= z
+            g["wh"] += before @ y.T
             dh += wh @ y
             if starts[t]:
                 dh *= ~fresh[t]
-        flat_of = lambda a: a.transpose(0, 2, 1).reshape(-1, a.shape[1])
-        g["wh"] = flat_of(np.stack([k[0] for k in keep])).T @ flat_of(recurrent)
-        flat_dx = flat_of(dx)
-        g["wx"], g["b"] = p["embed"][inputs].reshape(-1, p["embed"].shape[1]).T @ flat_dx, flat_dx.sum(axis=0)
-        rows = inputs.ravel()
+        # the gradient at each word's row of embed @ wx, then at both factors
+        rows, flat_dx = inputs.ravel(), dx.transpose(0, 2, 1).reshape(-1, 3 * n)
         order = np.argsort(rows, kind="stable")
         start = np.flatnonzero(np.diff(rows[order], prepend=-1))
-        g["embed"][rows[order][start]] = np.add.reduceat((flat_dx @ p["wx"].T)[order], start)
+        words, sums = rows[order][start], np.add.reduceat(flat_dx[order], start, axis=0)
+        g["wx"], g["b"] = p["embed"][words].T @ sums, sums.sum(axis=0)
+        g["embed"][words] = sums @ p["wx"].T
         return g, last, loss
 
     def fit(self, texts: list[np.ndarray], lanes: int = LANES, window: int = WINDOW, rate: float = 0.01, state: dict | None = None) -> float:
@@ -275,7 +282,8 @@ class GatedModel:
         out = np.zeros(len(texts))
         for inputs, targets, fresh, real, owner, h in windows(texts, self.v + 1, lanes, window, self.hidden):
             states, h[:] = self.steps(inputs, fresh, h)
-            got = self.log_probs(states[real], targets[real])
+            states = states.reshape(self.hidden, -1)
+            got = self.log_probs(states if real.all() else states[:, real.ravel()], targets[real])
             out += np.bincount(owner[real], got, len(texts))
         return out
 
@@ -284,7 +292,7 @@ def windows(texts: list[np.ndarray], start: int, lanes: int, window: int, hidden
     """Lay texts end to end in lanes of even length and cut these into windows.
 
     Yields inputs, targets, fresh, real, owner (all steps x lanes) and the
-    state of the lanes, which the caller replaces in place; lanes that have
+    state of the lanes (units x lanes), which the caller replaces in place; lanes that have
     ended leave the window, so a long text doesn't drag the others along.
     """
     lanes = max(1, min(lanes, len(texts)))
@@ -298,19 +306,22 @@ def windows(texts: list[np.ndarray], start: int, lanes: int, window: int, hidden
     targets = [np.concatenate([texts[i] for i in d]) if d else np.empty(0, np.int64) for d in dealt]
     owner = [np.repeat(d, [len(texts[i]) for i in d]) for d in dealt]
     fresh = [np.concatenate([np.arange(len(texts[i])) == 0 for i in d]) if d else np.empty(0, bool) for d in dealt]
-    h = np.zeros((lanes, hidden), np.float32)
-    for at in range(0, int(lengths.max(initial=0)), window):
-        live = int((lengths > at).sum())
-        steps = min(window, int(lengths[0]) - at)
-        t, o = np.zeros((steps, live), np.int64), np.zeros((steps, live), np.int64)
-        f, real, x = np.zeros((steps, live), bool), np.zeros((steps, live), bool), np.full((steps, live), start, np.int64)
+    h = np.zeros((hidden, lanes), np.float32)
+    for first in range(0, int(lengths.max(initial=0)), window * WINDOWS):
+        live, span = int((lengths > first).sum()), min(window * WINDOWS, int(lengths[0]) - first)
+        t, o, x = np.zeros((live, span), np.int64), np.zeros((live, span), np.int64), np.full((live, span), start, np.int64)
+        f, real = np.zeros((live, span), bool), np.zeros((live, span), bool)
         for k in range(live):
-            n = min(steps, int(lengths[k]) - at)
-            t[:n, k], o[:n, k], f[:n, k], real[:n, k] = targets[k][at : at + n], owner[k][at : at + n], fresh[k][at : at + n], True
-            x[:n, k] = np.concatenate([targets[k][at - 1 : at] if at else [start], targets[k][at : at + n - 1]])
+            own = slice(first, first + min(span, int(lengths[k]) - first))
+            n = own.stop - first
+            t[k, :n], o[k, :n], f[k, :n], real[k, :n] = targets[k][own], owner[k][own], fresh[k][own], True
+            x[k, 1:n] = t[k, : n - 1]
+            if first:
+                x[k, 0] = targets[k][first - 1]
         x[f] = start
-        state = h[:live]
-        yield x, t, f, real, o, state
+        for at in range(0, span, window):
+            own, now = slice(at, min(span, at + window)), int((lengths > first + at).sum())
+            yield *(np.ascontiguousarray(a[:now, own].T) for a in (x, t, f, real, o)), h[:, :now]
 
 
 def fitted(train: DataFrame, model: GatedModel, words: list[bytes], tokens: int, rounds: int = ROUNDS) -> int:

@@ -195,7 +195,7 @@ def test_gradients_agree_with_differences():
     inputs, targets = r.integers(0, 8, (5, 2)), r.integers(0, 7, (5, 2))
     fresh, real = np.zeros((5, 2), bool), np.ones((5, 2), bool)
     fresh[0] = fresh[3, 1] = True
-    h = np.zeros((2, 4))
+    h = np.zeros((4, 2))
     g, _, loss = net.gradients(inputs, targets, fresh, real, h)
     for name, x in net.p.items():
         for _ in range(3):
