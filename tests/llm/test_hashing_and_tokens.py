@@ -49,7 +49,8 @@ def test_bpe_with_small_memories(monkeypatch):
     want = [own.encode(t).tolist() for t in texts]
     for name, size in (("MAX_PIECES", 5), ("MAX_PAIRS", 7), ("MAX_STATES", 11)):
         monkeypatch.setattr(bpe, name, size)
-    own.machine.block, own.pieces = 16, {}
+    own = bpe.Codec(own.machine.ranks, P.PATTERN)  # with memories that are empty
+    own.machine.block = 16
     assert [own.encode(t).tolist() for t in texts] == want and len(own.pieces) <= 5 and len(own.machine.pairs) <= 7
     r = np.random.default_rng(6)
     for _ in range(50):
