@@ -6,11 +6,11 @@ with the columns of ``documents``; the last returns the encoded texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.bpe import bpe_round_trip
-from gristmill.llm.common import ASCII_SPACE, documents, written
+from gristmill.llm.common import ASCII_SPACE, documents, sifted, written
 from gristmill.llm.decontaminate import contaminated
 from gristmill.llm.exact_dedup import exact_dedup
 from gristmill.llm.language_id import in_known_languages
@@ -24,7 +24,13 @@ NEAR_BITS = 9
 def without(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``docs`` less the rows whose ``node_of`` is in ``nodes``: null or repeated ids don't take other rows along."""
     gone = nodes.select(F.col("node").alias("gone_node")).distinct()
-    return docs.join(gone, node_of(docs) == gone["gone_node"], "left_anti")
+    stay, maybe = sifted(docs, node_of(docs), gone)
+    return stay.union(maybe.join(gone, node_of(maybe) == gone["gone_node"], "left_anti"))
+
+
+def sha_of(docs: DataFrame) -> Column:
+    """The digest by which ``exact_dedup`` names a text."""
+    return F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), ASCII_SPACE + "+", " "), 256)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +41,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     marks = written(exact_dedup(docs), "marks")
-    sha = F.sha2(F.regexp_replace(F.coalesce(docs["text"], F.lit("")), ASCII_SPACE + "+", " "), 256)
-    gone = marks.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
-    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
+    gone = written(marks.where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
+    stay, maybe = sifted(docs, docs["doc_id"].cast("long"), gone.select("gone_id"))
+    kept = stay.union(maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["gone_id"]) & (sha_of(maybe) == gone["gone_sha"]), "left_anti"))
     rows, texts = marks.where("kept").agg(F.count(F.lit(1)), F.count_distinct("text_sha256")).first()
     if rows == texts:
         return kept
     key = "sha256_of_row"  # rows that repeat both id and text
     while key in docs.columns:
         key += "_"
-    return kept.withColumn(key, sha).dropDuplicates(["doc_id", key]).drop(key)
+    return kept.withColumn(key, sha_of(kept)).dropDuplicates(["doc_id", key]).drop(key)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, gram_hashes, id_text, texts_of, word_hashes, word_spans, written
+from .common import discard, gram_hashes, id_text, sifted, texts_of, word_hashes, word_spans, written
 from .components import components
 
 SHINGLE, BITS = 3, 3
@@ -356,7 +356,8 @@ def near_copies(docs: DataFrame, same: float = SAME, words: int = RUN, shingle:
     wide = distinct.join(linked, "fp", "left").where("root IS NOT NULL OR rows > 1").select("fp", F.coalesce("root", "fp").alias("root"))
     asked = written(own.join(wide, "fp").select("node", "fp", "root").distinct(), "asked")
     texts = id_text(docs)
-    texts = texts.withColumn("node", node_of(texts)).join(asked, "node").dropDuplicates(["node"])
+    texts = texts.withColumn("node", node_of(texts))
+    texts = sifted(texts, texts["node"], asked.select("node"))[1].join(asked, "node").dropDuplicates(["node"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
